@@ -6,6 +6,8 @@ import importlib
 
 #: Query name -> module that holds it (and, where SQL can express it, its SQL in ``ORACLE``).
 MODULES = {
+    "op2_minhash_dedup": "minhash_dedup",
+    "op3_quality_classifier": "quality_classifier",
     "op6_exact_dedup": "exact_dedup",
     "op9_warc": "warc",
     "op10_best_fit_packing": "best_fit_packing",
