@@ -9,6 +9,7 @@ MODULES = {
     "op2_minhash_dedup": "minhash_dedup",
     "op3_quality_classifier": "quality_classifier",
     "op4_ppm": "ppm",
+    "op5_secret_crf": "secret_crf",
     "op6_exact_dedup": "exact_dedup",
     "op9_warc": "warc",
     "op10_best_fit_packing": "best_fit_packing",
