@@ -27,6 +27,8 @@ def prepare(spark: SparkSession) -> None:
     """Small Arrow batches, so that Python workers hold a few megabytes of text at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    # Only what is marked with broadcast(), for its proven bound, is broadcast: file sizes say little about rows in memory.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     # Shuffle files go as soon as the action that made them ends; results that are read again are written tables.
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 

@@ -24,6 +24,7 @@ import re
 
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,37 +34,37 @@ MAGIC = "WARC/1.1\r\n"
 #: A WARC file's date; fixed, so that a task that runs twice writes the same bytes.
 DATE = "2024-01-01T00:00:00Z"
 RECORDS_PER_FILE = 100_000
+REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def base32_sha1(binary) -> F.Column:
-    """Upper-case base32 of the SHA-1 of a binary column: 160 bits are 32 letters of 5 bits."""
-    bits = F.concat(*[F.lpad(F.conv(F.substring(F.sha1(binary), 1 + 10 * i, 10), 16, 2), 40, "0") for i in range(4)])
-    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-    return F.concat(*[F.substring(F.lit(letters), 1 + F.conv(F.substring(bits, 1 + 5 * i, 5), 2, 10).cast("int"), F.lit(1)) for i in range(32)])
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0) -> None:
+    """Write ``pages`` as WARC files below ``path``. Payloads are shuffled once, compressed, to meet the first page of their digest."""
+    kind = pages.schema[id_col].dataType.simpleString()
 
+    def squeeze(batches):
+        packer = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            payloads = [x or b"" for x in batch.column(2).to_pylist()]
+            cols = [pa.array([hashlib.sha1(x).digest() for x in payloads], pa.binary()), pa.array([len(x) for x in payloads], pa.int64()), pa.array([packer.compress(x) for x in payloads], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["key", "url", "sha", "size", "packed"])
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0) -> None:
-    """Write ``pages`` as WARC files below ``path``."""
-    rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(id_col).alias("key"), F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\x00-\x20\x7f]", "%20").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
-    rows = rows.withColumns({"sha": F.unhex(F.sha1("payload")), "size": F.length("payload").cast("long")})
+    def records(batches):
+        unpacker = zstandard.ZstdDecompressor()
+        for batch in batches:
+            out = []
+            for key, url, sha, size, packed, first in zip(*(c.to_pylist() for c in batch.columns)):
+                again = first is not None and key != first
+                head = [("WARC-Type", "revisit" if again else "response"), ("WARC-Record-ID", f"<urn:page:{'' if key is None else key}>"), ("WARC-Date", DATE), ("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f]", "%20", url or "")), ("WARC-Payload-Digest", f"sha1:{base64.b32encode(sha).decode()}")]
+                if again:
+                    head += [("WARC-Refers-To", f"<urn:page:{first}>"), ("WARC-Profile", REVISIT)]
+                head += [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", "0" if again else str(size))]
+                out.append((MAGIC + "".join(f"{k}: {v}\r\n" for k, v in head) + "\r\n").encode() + (b"" if again or not size else unpacker.decompress(packed)))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], ["value"])
+
+    rows = pages.select(F.col(id_col).alias("key"), F.col(url_col).alias("url"), F.col(payload_col).cast("binary").alias("payload")).mapInArrow(squeeze, f"key {kind}, url string, sha binary, size long, packed binary")
     first = rows.where(F.col("size") >= least).groupBy("sha").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    rows = rows.join(first, "sha", "left")
-    again = F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first"))
-    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    head = F.concat(
-        F.lit(MAGIC),
-        line("WARC-Type", F.when(again, "revisit").otherwise("response")),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce("id", F.lit("")), F.lit(">"))),
-        line("WARC-Date", F.lit(DATE)),
-        line("WARC-Target-URI", F.col("url")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32_sha1(F.col("payload")))),
-        F.when(again, F.concat(line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("first").cast("string"), F.lit(">"))), line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))).otherwise(""),
-        line("Content-Type", F.lit("text/html; charset=utf-8")),
-        line("Content-Length", F.when(again, "0").otherwise(F.col("size").cast("string"))),
-        F.lit("\r\n"),
-    )
-    record = F.concat(head, F.when(again, "").otherwise(F.col("payload").cast("string")))
-    rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    values = rows.join(first, "sha", "left").select("key", "url", "sha", "size", "packed", "first").mapInArrow(records, "value string")
+    values.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
 HEADER = re.compile(rb"((?:[!-9;-~]+:[^\r\n]*\r\n)+)\r\n")
