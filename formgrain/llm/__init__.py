@@ -11,6 +11,7 @@ MODULES = {
     "op4_ppm": "ppm",
     "op5_secret_crf": "secret_crf",
     "op6_exact_dedup": "exact_dedup",
+    "op7_suffix_dedup": "suffix_dedup",
     "op8_decontaminate": "decontaminate",
     "op9_warc": "warc",
     "op10_best_fit_packing": "best_fit_packing",
