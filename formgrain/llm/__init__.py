@@ -6,6 +6,7 @@ import importlib
 
 #: Query name -> module that holds it (and, where SQL can express it, its SQL in ``ORACLE``).
 MODULES = {
+    "op1_chain_dedup": "chain_dedup",
     "op2_minhash_dedup": "minhash_dedup",
     "op3_quality_classifier": "quality_classifier",
     "op4_ppm": "ppm",

@@ -36,12 +36,12 @@ _GRAM, _WORD, _DOCS = 0, 1, 2
 
 def normal_form(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of the texts in normal form, each after ``ORDER`` end symbols, and each text's range (its end included)."""
-    low, keep = words.low.copy(), np.zeros(len(words.low), bool)
+    low = words.low.copy()
     counts = words.last - words.first
     size = np.concatenate([[0], np.cumsum(words.to - words.at + 1)])
     keep_from = np.zeros(len(low) + 1, np.int8)
     keep_from[words.at] += 1
-    np.add.at(keep_from, words.to + 1, -1) if len(words.to) and words.to.max() + 1 > len(low) else keep_from.__setitem__(words.to + 1, keep_from[words.to + 1] - 1)
+    keep_from[words.to + 1] -= 1  # a word and the white byte after it
     keep = np.cumsum(keep_from[:-1], dtype=np.int8) > 0
     low[words.to] = 32
     some = counts > 0
