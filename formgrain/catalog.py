@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from formgrain.plans import scoring_queries, table_queries  # noqa: F401  (the second registers its queries in the first)
+
 
 def queries() -> dict:
-    return {}
+    return dict(scoring_queries.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(scoring_queries.SQL)
