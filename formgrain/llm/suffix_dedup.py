@@ -305,4 +305,16 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op7_suffix_dedup": f"""
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h, encode(coalesce(text, '')) AS raw, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes FROM documents),
+w AS (SELECT doc_id, p, hash(array_slice(raw, p + 1, p + {WIDTH})) AS k FROM (SELECT doc_id, raw, unnest(range(0, n_bytes - {WIDTH} + 1)) AS p FROM d)),
+m AS (SELECT doc_id, p FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+s AS (SELECT *, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + {WIDTH} THEN 1 ELSE 0 END AS fresh FROM m),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS island FROM s),
+r AS (SELECT doc_id, island, min(p) AS a, max(p) + {WIDTH} AS b FROM i GROUP BY ALL),
+g AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+k AS (SELECT doc_id, string_agg(substr(h, 1 + 2 * before, 2 * (a - before)), '' ORDER BY a) || substr(max(h), 1 + 2 * max(b)) AS kept, sum(b - a) AS removed, count(*) AS spans FROM g JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)""",
+}

@@ -224,4 +224,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
-ORACLE: dict[str, str] = {}
+_LETTERS = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((c{i} >> {35 - 5 * j}) & 31 AS INTEGER), 1)" for i in range(4) for j in range(8))
+
+ORACLE = {
+    "op9_warc": f"""
+WITH h AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+c AS (SELECT *, {', '.join(f"CAST('0x' || substr(h, {1 + 10 * i}, 10) AS BIGINT) AS c{i}" for i in range(4))}, min(page_id) OVER (PARTITION BY h) AS first FROM h)
+SELECT page_id, payload_bytes, {_LETTERS} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to FROM c""",
+}
