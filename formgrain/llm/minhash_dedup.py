@@ -5,11 +5,11 @@ places; a second permutation, shifted around the circle by 1, 2, ... yields ever
 permutations serve for all ``BANDS * ROWS`` coordinates. Bands of ``ROWS`` coordinates become buckets.
 
 Documents with the same set are one class from the start and only its smallest id goes on. In each bucket every member is
-paired with the bucket's smallest id, each pair is confirmed by the exact Jaccard similarity of the full sets, and the links give
-components. Buckets whose members still fall into several components are then tried again with the largest id, and at last all
-pairs across components there are confirmed too, so no pair that shares a bucket and could join two components goes
-untested, while a large group of near copies costs a number of pairs in proportion to its size. A pair at the threshold
-shares no bucket with a chance of (1 - s**3)**24: under 1e-9 at 0.85, 4e-8 at 0.8.
+paired with the bucket's smallest id, its hub; each pair is confirmed by the exact Jaccard similarity of the full sets, and the
+links give components. Members of one hub that are still in different components are compared in blocks, exactly, through what
+each lacks of the hub's set and has beside it. So no pair that shares a bucket and could join two components goes untested, while
+a large group of near copies makes a number of rows in proportion to its size. A pair at the threshold shares no bucket with a
+chance of (1 - s**3)**24: under 1e-9 at 0.85, 4e-8 at 0.8.
 
 Defined cases: null, empty and blank texts have an empty set, link with nothing and keep themselves; texts with fewer than ``k``
 words have their whole word sequence as one shingle; rows that repeat an id are one document if their texts agree,
@@ -28,6 +28,8 @@ from formgrain.llm.graph import components
 
 ROWS = 3
 BANDS = 24
+#: Members of a hub in one block, where blocks are compared.
+BLOCK_MEMBERS = 256
 
 _SHIFTS = np.arange(1, ROWS * BANDS + 1, dtype=np.uint32)[:, None]
 
@@ -83,19 +85,17 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n long, s0 long, s1 long, keys array<long>")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, per_cent: int) -> DataFrame:
-    """Of (a, b), those with 100 * intersection >= per_cent * union of the full sets, as (a, b, links)."""
+def compare(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, per_cent: int) -> DataFrame:
+    """Of (id, hub): sizes of the full sets, whether they link, and what the member lacks of the hub and has beside it."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    kind = pairs.schema["a"].dataType.simpleString()
+    both = pairs.join(texts.toDF("id", "text"), "id").join(texts.toDF("hub", "hub_text"), "hub")
+    kind = pairs.schema["id"].dataType.simpleString()
 
     def sets(column, cache: dict) -> list[np.ndarray]:
         texts = column.to_pylist()
-        fresh = [x for x in dict.fromkeys(texts) if x not in cache]
         if len(cache) > 500:
-            for x in list(cache)[:-200]:
-                if x not in texts:
-                    del cache[x]
+            cache.clear()
+        fresh = [x for x in dict.fromkeys(texts) if x not in cache]
         raw, offsets = utf8(pa.array(fresh, pa.large_string()))
         for a, b in blocks(offsets):
             words = Words(raw, offsets, a, b)
@@ -104,19 +104,99 @@ def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: in
         return [cache[x] for x in texts]
 
     def run(batches):
-        left: dict = {}
-        right: dict = {}
+        members: dict = {}
+        hubs: dict = {}
         for batch in batches:
             for part in (batch.slice(at, 200) for at in range(0, batch.num_rows, 200)):
-                links = []
-                for x, y in zip(sets(part.column(2), left), sets(part.column(3), right)):
-                    both = np.concatenate([x, y])
-                    both.sort()
-                    shared = int((both[1:] == both[:-1]).sum())
-                    links.append(100 * shared >= per_cent * (len(x) + len(y) - shared) and shared > 0)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(links, pa.bool_())], ["a", "b", "links"])
+                n, m, links, lacks, adds = [], [], [], [], []
+                for x, h in zip(sets(part.column(2), members), sets(part.column(3), hubs)):
+                    there = h[np.minimum(np.searchsorted(h, x), len(h) - 1)] == x
+                    back = x[np.minimum(np.searchsorted(x, h), len(x) - 1)] == h
+                    shared = int(there.sum())
+                    n.append(len(x))
+                    m.append(len(h))
+                    links.append(100 * shared >= per_cent * (len(x) + len(h) - shared))
+                    lacks.append(signed(h[~back]))
+                    adds.append(signed(x[~there]))
+                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, v)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *v]))) for v in (lacks, adds)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int32()), pa.array(m, pa.int32()), pa.array(links, pa.bool_()), *lists], ["id", "hub", "n", "hub_n", "links", "lacks", "adds"])
+
+    schema = f"id {kind}, hub {kind}, n int, hub_n int, links boolean, lacks array<long>, adds array<long>"
+    return both.select("id", "hub", "text", "hub_text").mapInArrow(run, schema)
+
+
+def block_links(hub_n: int, left: list[dict], right: list[dict], per_cent: int) -> list[tuple]:
+    """Links across components between two blocks of members of one hub; enough of them to join what is joined.
+
+    With x = hub - lacks + adds for each member, two members share hub_n - |lacks x| - |lacks y| + common lacks + common adds
+    shingles, so the sets themselves aren't needed.
+    """
+    rows = []
+    for side in (left, right):
+        own = np.repeat(np.arange(len(side)), [len(x["lacks"]) + len(x["adds"]) for x in side])
+        items = np.concatenate([np.empty(0, np.int64), *(np.array(x[c], np.int64) for x in side for c in ("lacks", "adds"))])
+        order = np.argsort(items, kind="stable")
+        rows.append((items[order], own[order]))
+    (a, own_a), (b, own_b) = rows
+    common = np.zeros((len(left), len(right)), np.int32)
+    lo, hi = np.searchsorted(b, a), np.searchsorted(b, a, "right")
+    size = hi - lo
+    hit = np.flatnonzero(size)
+    if len(hit):
+        i = np.repeat(own_a[hit], size[hit])
+        j = np.repeat(lo[hit], size[hit]) + np.arange(int(size[hit].sum())) - np.repeat(np.cumsum(size[hit]) - size[hit], size[hit])
+        common += np.bincount(i * len(right) + own_b[j], minlength=common.size).reshape(common.shape).astype(np.int32)
+    size_of = lambda side, f: np.array([f(x) for x in side], np.int64)
+    shared = hub_n - size_of(left, lambda x: len(x["lacks"]))[:, None] - size_of(right, lambda x: len(x["lacks"]))[None, :] + common
+    total = size_of(left, lambda x: x["n"])[:, None] + size_of(right, lambda x: x["n"])[None, :]
+    apart = np.array([x["r"] for x in left], object)[:, None] != np.array([x["r"] for x in right], object)[None, :]
+    root: dict = {}
+
+    def top(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero((100 * shared >= per_cent * (total - shared)) & apart)):
+        x, y = top(left[i]["r"]), top(right[j]["r"])
+        if x != y:
+            root[x] = y
+            out.append((left[i]["id"], right[j]["id"]))
+    return out
+
+
+def across(tested: DataFrame, roots: DataFrame, per_cent: int, block: int = BLOCK_MEMBERS) -> DataFrame:
+    """(a, b) links between members of one hub that are still in different components.
+
+    Members of the hub's own component need no test with each other. All others meet all members of the hub in blocks: a row
+    for two blocks, never one for two members.
+    """
+    kind = tested.schema["id"].dataType.simpleString()
+    named = tested.join(roots.toDF("id", "r"), "id", "left").withColumn("r", F.coalesce("r", "id"))
+    named = named.join(roots.toDF("hub", "hub_r"), "hub", "left").withColumn("open", F.col("r") != F.coalesce("hub_r", "hub"))
+    items = F.sum(F.size("lacks") + F.size("adds"))
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(items / (400 * block)))
+    counts = named.groupBy("hub", "open").agg(parts.alias("parts"))
+    some = counts.where("open").select("hub")
+    sized = named.join(counts.join(some, "hub", "left_semi"), ["hub", "open"])
+    at = F.pmod(F.xxhash64("id"), F.greatest("parts", F.lit(1))).cast("int")
+    blocks_ = sized.groupBy("hub", "hub_n", "open", at.alias("at")).agg(F.collect_list(F.struct("id", "r", "n", "lacks", "adds")).alias("rows"))  # about ``block`` rows, or 400 * ``block`` differences
+    blocks_ = materialise(blocks_, "blocks")
+    left = blocks_.where("open").select("hub", "hub_n", F.col("at").alias("i"), F.col("rows").alias("left"))
+    right = blocks_.select("hub", "open", F.col("at").alias("j"), F.col("rows").alias("right"))
+    met = left.join(right, "hub").where("not open or j >= i").select("hub_n", "left", "right")
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}, links boolean")
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                found = block_links(row["hub_n"], row["left"], row["right"], per_cent)
+                if found:
+                    key = batch.schema.field("left").type.value_type.field("id").type
+                    yield pa.RecordBatch.from_arrays([pa.array(c, key) for c in zip(*found)], ["a", "b"])
+
+    return met.mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, per_cent: int = 80) -> DataFrame:
@@ -128,43 +208,22 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = materialise(some.groupBy("n", "s0", "s1").agg(F.min("doc_id").alias("a")), "classes")
     same = some.join(classes, ["n", "s0", "s1"]).select("doc_id", "a").where("doc_id <> a")
     firsts = classes.select(F.col("a").alias("doc_id"), "n", "s0", "s1")
-    members = some.join(firsts, ["doc_id", "n", "s0", "s1"], "left_semi").select(F.explode(F.array_distinct("keys")).alias("key"), F.col("doc_id").alias("id"), F.col("n").cast("int").alias("n"))
-    close = lambda x, y: f"100 * least({x}, {y}) >= {per_cent} * greatest({x}, {y})"
-
-    # Round 1: each member with the smallest id of its bucket.
-    hubs = members.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last")
-    crowded = materialise(members.join(hubs, "key"), "members")
-    sizes = crowded.select(F.col("id").alias("hub"), F.col("n").alias("m")).distinct()
-    tested = materialise(confirm(_close(crowded.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"), "n"), sizes, close), docs, id_col, text_col, k, per_cent), "tested")
-    links = tested.where("links").select("a", "b").unionByName(same.select(F.col("doc_id").alias("a"), F.col("a").alias("b")))
-    roots = components(links)
-
-    for step in ("last", None):
-        rooted = crowded.join(roots.withColumnRenamed("root", "r"), "id", "left").withColumn("r", F.coalesce("r", "id"))
-        mixed = rooted.groupBy("key").agg(F.min("r").alias("low"), F.max("r").alias("high")).where("low <> high")
-        open_ = materialise(rooted.join(mixed, "key").select("key", "id", "n", "r", "last"), "mixed")
-        if step:  # Round 2: each member with the largest id of its bucket
-            far = open_.where("id = last").select("key", F.col("id").alias("b"), F.col("r").alias("rb"), F.col("n").alias("m"))
-        else:  # Round 3: all that is left across components
-            far = open_.select("key", F.col("id").alias("b"), F.col("r").alias("rb"), F.col("n").alias("m"))
-        more = open_.join(far, "key").where(("r <> rb" if step else "r < rb") + " and " + close("n", "m")).select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
-        more = more.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        more = materialise(more, "more")
-        if more.isEmpty():
-            continue
-        tested = materialise(tested.unionByName(confirm(more, docs, id_col, text_col, k, per_cent)), "tested")
-        links = tested.where("links").select("a", "b").unionByName(same.select(F.col("doc_id").alias("a"), F.col("a").alias("b")))
-        roots = components(links)
+    members = some.join(firsts, ["doc_id", "n", "s0", "s1"], "left_semi").select(F.explode(F.array_distinct("keys")).alias("key"), F.col("doc_id").alias("id"))
+
+    # Each member with the smallest id of its bucket.
+    hubs = members.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("key", "hub")
+    pairs = materialise(members.join(hubs, "key").where("id <> hub").select("id", "hub").distinct(), "pairs")
+    tested = materialise(compare(pairs, docs, id_col, text_col, k, per_cent), "tested")
+    links = tested.where("links").select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    roots = components(links.unionByName(same.select(F.col("doc_id").alias("a"), F.col("a").alias("b"))))
+    # Members of one hub that are still apart.
+    found = materialise(across(tested, roots, per_cent), "across")
+    if not found.isEmpty():
+        roots = components(roots.toDF("a", "b").unionByName(found))
     out = base.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component_id", F.coalesce("root", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _close(pairs: DataFrame, sizes: DataFrame, close) -> DataFrame:
-    """Distinct pairs whose set sizes allow a link."""
-    pairs = pairs.distinct().join(sizes.toDF("b", "m"), "b")
-    return pairs.where(close("n", "m")).select("a", "b").distinct()
-
-
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), k=3, per_cent=85)
 
