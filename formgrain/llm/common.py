@@ -42,8 +42,12 @@ def shared_dir(spark: SparkSession) -> str:
     return home.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
 def shared_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _WRITTEN.append(f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
@@ -54,10 +58,11 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a table in the shared folder that nothing reads any more."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate tables that this session has written; results that still read them must be saved before."""
+    while _WRITTEN:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
