@@ -31,7 +31,9 @@ WIDTH = 200
 GRAM = 32
 HOT = 200_000
 #: Bytes that one suffix array takes at most, unless a single key has more.
-ARRAY_BYTES = 6 << 20
+ARRAY_BYTES = 3 << 19
+#: Text bytes in which fragments are found at once: about a hundred bytes of arrays go with each.
+FIND_BYTES = 1 << 19
 _PLACE = 28  # bits of a position in a block
 
 
@@ -223,7 +225,7 @@ def recurring(docs: DataFrame) -> DataFrame:
     def fragments(batches):
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
-            for a, b in blocks(offsets):
+            for a, b in blocks(offsets, FIND_BYTES):
                 text, starts, ends = spaced(raw, offsets, a, b)
                 doc, at, run, key, mark, twice = find_fragments(text, starts, ends)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + a)), pa.array(at, pa.int32()), pa.array(run, pa.int32()), pa.array(key), pa.array(mark), pa.array(twice)], ["uid", "at", "run", "key", "print", "twice"])
