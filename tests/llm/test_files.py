@@ -90,11 +90,11 @@ def check_packing(rows, capacity):
 def test_packing_is_gapless_and_close_to_the_bound(spark):
     rng = random.Random(2)
     rows = spark.createDataFrame([(i, prose(rng, rng.randrange(1, 90))) for i in range(1500)], "doc_id long, text string")
-    for group in (1 << 16, 200):  # one group; several that exchange
+    for group, slack in ((1 << 16, 1.01), (200, 1.03)):  # one group; several very small ones that exchange
         got = P.pack(rows, capacity=256, group=group).collect()
         assert len({(r.doc_id, r.piece) for r in got}) == len(got)
         n = check_packing(got, 256)
-        assert n <= 1.015 * P.lower_bound(np.sort([r.length for r in got])[::-1], 256)
+        assert n <= slack * P.lower_bound(np.sort([r.length for r in got])[::-1], 256)
 
 
 def test_bounds_hold():
