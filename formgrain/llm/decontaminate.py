@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-A first pass counts how often each ``N``-word sequence of the benchmark occurs in the corpus. In every run of ``RUN`` successive
-sequences of an item the rarest is a seed, so any stretch of an item that is copied for ``RUN + N - 1`` words holds one, and frequent
-phrases are only used where an item has nothing else. A second pass finds the seeds in each document; where seeds of one item
-fall near one diagonal, the item's words are aligned with that stretch of the document by Smith-Waterman (match 2, mismatch -1,
-gap -1), and the best score over twice the item's length says how much of it is there, paraphrased or edited.
+Every ``N``-word sequence of an item is a seed, so each one that an edited copy has left leads to it, whatever became of its
+neighbours. One pass finds the seeds in each document. An item of which less than the least score's share of words occurs in the document,
+or in the stretch, can't reach that score and is left out before it is aligned; where seeds of one item fall near one diagonal, the
+item's words are aligned with that stretch of the document by Smith-Waterman (match 2, mismatch -1, gap -1), and the best score over
+twice the item's length says how much of it is there, paraphrased or edited.
 
 The benchmark is the query set and goes to the executors in blocks of at most ``BLOCK_BYTES`` of text: a larger one takes
 more passes, never a larger broadcast. Documents are not shuffled, so a passage that is copied into any number of them
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from formgrain.llm.common import Words, blocks, materialise, prepare, shingle_hashes, table, utf8
 
 N = 3
-RUN = 4
 BLOCK_BYTES = 8 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of the greatest possible score from which a pair counts.
@@ -62,26 +61,32 @@ class Items:
             self.words += [w.hash[w.first[i] : w.last[i]].copy() for i in range(b - a)]
         self.hashes = [shingle_hashes(w, min(N, max(1, len(w)))) for w in self.words]
         self.widths = sorted({min(N, len(w)) for w in self.words if len(w)})
-        self.grams = {n: Grams(np.unique(np.concatenate([h for h, w in zip(self.hashes, self.words) if min(N, len(w)) == n]))) for n in self.widths}
+        self.lengths = np.array([len(w) for w in self.words], np.int64)
+        self.flat = np.concatenate(self.words) if self.words else np.empty(0, np.uint64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
 
-    def seeds(self, counts: dict[tuple[int, int], int]) -> dict[int, tuple]:
+    def seeds(self) -> dict[int, tuple]:
         """Per width: set of seeds, and for each seed the items and places that it stands for."""
         out = {}
         for n in self.widths:
-            keys, own = self.grams[n].keys, []
-            n_of = np.array([counts.get((n, i), 0) for i in range(len(keys))], np.int64)
-            for item, (hashes, words) in enumerate(zip(self.hashes, self.words)):
-                if not len(words) or min(N, len(words)) != n:
-                    continue
-                rank = n_of[np.searchsorted(keys, hashes)]
-                picks = {at + int(rank[at : at + RUN].argmin()) for at in range(max(1, len(rank) - RUN + 1))}
-                own += [(int(np.searchsorted(keys, hashes[p])), item, p) for p in picks]
-            own.sort()
-            ids = np.array([x[0] for x in own], np.int64)
-            distinct, first = np.unique(ids, return_index=True)
-            out[n] = Grams(keys[distinct]), np.append(first, len(own)), np.array([x[1] for x in own], np.int64), np.array([x[2] for x in own], np.int64)
+            some = [i for i, w in enumerate(self.words) if len(w) and min(N, len(w)) == n]
+            hashes = np.concatenate([self.hashes[i] for i in some])
+            item = np.repeat(some, [len(self.hashes[i]) for i in some])
+            place = np.concatenate([np.arange(len(self.hashes[i])) for i in some])
+            order = np.argsort(hashes, kind="stable")
+            distinct, first = np.unique(hashes[order], return_index=True)
+            out[n] = Grams(distinct), np.append(first, len(order)), item[order], place[order]
         return out
 
+    def reachable(self, some: np.ndarray, words: np.ndarray, least: float) -> np.ndarray:
+        """Which of these items have enough words in a text for the least score."""
+        size = self.lengths[some]
+        first = np.cumsum(size) - size
+        own = self.flat[np.repeat(self.starts[some] - first, size) + np.arange(int(size.sum()))]
+        known = np.unique(words)
+        hit = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
+        return np.add.reduceat(hit.astype(np.int64), first) >= least * size
+
 
 def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     """Best local score of two word sequences, and where it ends in each (exclusive)."""
@@ -119,11 +124,18 @@ def matches(words: np.ndarray, items: Items, seeds: dict[int, tuple], least: flo
     hits = []
     for n, (grams, first, item, place) in seeds.items():
         at, i = grams.find(shingle_hashes(words, n))
-        for p, k in zip(at.tolist(), i.tolist()):
-            hits += [(int(item[x]), p - int(place[x]), p, int(place[x])) for x in range(first[k], first[k + 1])]
-    if not hits:
+        times = first[i + 1] - first[i]
+        x = np.repeat(first[i] - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
+        p = np.repeat(at, times)
+        hits.append(np.stack([item[x], p - place[x], p, place[x]], axis=1))
+    hits = np.concatenate(hits) if hits else np.empty((0, 4), np.int64)
+    if not len(hits):
+        return []
+    some = np.unique(hits[:, 0])
+    hits = hits[np.isin(hits[:, 0], some[items.reachable(some, words, least)])]
+    if not len(hits):
         return []
-    hits = np.array(sorted(hits), np.int64)
+    hits = hits[np.lexsort(hits.T[::-1])]
     out = []
     for part in np.split(hits, np.flatnonzero(np.diff(hits[:, 0])) + 1):
         own = items.words[part[0, 0]]
@@ -134,6 +146,8 @@ def matches(words: np.ndarray, items: Items, seeds: dict[int, tuple], least: flo
                 continue
             pad = max(4, len(own) // 4)
             a, b = max(0, int(some[:, 1].min()) - pad), min(len(words), int(some[:, 1].max()) + len(own) + pad)
+            if not items.reachable(part[:1, 0], words[a:b], least)[0]:
+                continue
             score, s, e = align(own, words[a:b])
             if score >= least:
                 found.append((int(part[0, 0]), score, a + s, a + e, len(some)))
@@ -167,25 +181,7 @@ def _pass(spark: SparkSession, texts: DataFrame, some: pa.Table, kind: str, item
     if not some.num_rows:
         return spark.createDataFrame([], schema)
     items = Items(some.column("text"))
-    known = spark.sparkContext.broadcast(items.grams)
-
-    def count(batches):
-        total = {n: np.zeros(len(g.keys), np.int64) for n, g in known.value.items()}
-        for batch in batches:
-            raw, offsets = utf8(batch.column(0))
-            for a, b in blocks(offsets):
-                words = Words(raw, offsets, a, b)
-                for n, grams in known.value.items():
-                    at, i = grams.find(shingle_hashes(words.hash, n))
-                    doc = np.searchsorted(words.first, at, "right") - 1
-                    np.add.at(total[n], i[at + n <= words.last[doc]], 1)  # not across texts
-        for n, sums in total.items():
-            i = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), n, np.int32)), pa.array(i), pa.array(sums[i])], ["n", "i", "times"])
-
-    counted = texts.select("text").mapInArrow(count, "n int, i long, times long").groupBy("n", "i").agg(F.sum("times").alias("times"))
-    counts = {(r.n, r.i): r.times for r in counted.collect()}  # at most one row for each sequence of this block of items
-    model = spark.sparkContext.broadcast((items, items.seeds(counts), some.column("item_id").to_pylist()))
+    model = spark.sparkContext.broadcast((items, items.seeds(), some.column("item_id").to_pylist()))
 
     def search(batches):
         items, seeds, ids = model.value

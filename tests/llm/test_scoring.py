@@ -171,6 +171,20 @@ def test_decontamination_finds_copies_and_edits(spark, docs, clash, empty):
         assert {(i, i) for i in range(5)} <= pairs
 
 
+def test_decontamination_finds_copies_with_words_replaced_throughout(spark):
+    rng = random.Random(21)
+    items = [(i, prose(rng, 40)) for i in range(9)]
+    rows = [(100 + i, t) for i, t in items]  # verbatim copies too, so that no sequence is missing from the corpus
+    for i, t in items:
+        w = t.split()
+        w[3 :: 4 + i % 3] = [prose(rng, 1) for _ in w[3 :: 4 + i % 3]]
+        rows.append((i, f"{prose(rng, 20)} {' '.join(w)} {prose(rng, 20)}"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for some in (rows, rows[9:]):
+        got = {(r.doc_id, r.item_id) for r in D.decontaminate(spark.createDataFrame(some, "doc_id long, text string"), bench).collect()}
+        assert got == {(i, i % 100) for i, _ in some}
+
+
 def test_pairs_of_words_do_not_cross_texts():
     raw, offsets = utf8(pa.array(["a b", "c d"], pa.string()))
     w = Words(raw, offsets, 0, 2)
