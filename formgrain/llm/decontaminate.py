@@ -11,7 +11,8 @@ more passes, never a larger broadcast. Documents are not shuffled, so a passage
 is no hot key; only matched pairs leave a task.
 
 Defined cases: null and blank texts match nothing, on both sides; an item with fewer than ``N`` words is a seed as a whole and has to
-occur as it is; equal items and items that repeat each give their own pairs; rows that repeat a document each give theirs;
+occur as it is; a longer one than ``N + 1`` words has to score more than a lone seed does (this matters for items of 5 and 6
+words); equal items and items that repeat each give their own pairs; rows that repeat a document each give theirs;
 empty tables give no row; ids are carried along, other columns are not read.
 """
 
@@ -142,14 +143,12 @@ def matches(words: np.ndarray, items: Items, seeds: dict[int, tuple], least: flo
         found = []
         for group in stretches(part[:, 1], len(own)):
             some = part[group]
-            if len(np.unique(some[:, 3])) < (2 if len(own) > N + 1 else 1):
-                continue
             pad = max(4, len(own) // 4)
             a, b = max(0, int(some[:, 1].min()) - pad), min(len(words), int(some[:, 1].max()) + len(own) + pad)
             if not items.reachable(part[:1, 0], words[a:b], least)[0]:
                 continue
             score, s, e = align(own, words[a:b])
-            if score >= least:
+            if score >= least and (len(own) <= N + 1 or score * len(own) > N):
                 found.append((int(part[0, 0]), score, a + s, a + e, len(some)))
         if found:
             out.append(max(found, key=lambda x: (x[1], -x[2])))

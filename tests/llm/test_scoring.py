@@ -185,6 +185,18 @@ def test_decontamination_finds_copies_with_words_replaced_throughout(spark):
         assert got == {(i, i % 100) for i, _ in some}
 
 
+def test_decontamination_finds_short_items(spark):
+    rng = random.Random(22)
+    items = [(10 * n + i, " ".join(f"w{n}x{i}x{j}" for j in range(n))) for n in range(1, 11) for i in range(4)]
+    rows = [(i, f"{prose(rng, 20)} {t} {prose(rng, 20)}") for i, t in items]
+    rows += [(1000 + i, f"{prose(rng, 20)} {' '.join(t.split()[:3])} {prose(rng, 20)}") for i, t in items if i >= 50]  # a lone phrase is no copy
+    eight = items[28][1].split()  # one sequence of three is left, six words of eight match
+    rows.append((2000, f"{prose(rng, 9)} {' '.join(eight[:3])} new {eight[4]} new {' '.join(eight[6:])} {prose(rng, 9)}"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in D.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(i, i) for i, _ in items} | {(2000, items[28][0])}
+
+
 def test_pairs_of_words_do_not_cross_texts():
     raw, offsets = utf8(pa.array(["a b", "c d"], pa.string()))
     w = Words(raw, offsets, 0, 2)
