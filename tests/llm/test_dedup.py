@@ -193,3 +193,25 @@ def test_passages_are_found_and_clean_documents_left_alone(docs, rows, clash, em
     key = lambda rs: sorted(map(str, rs))
     assert key(passages(clash).collect()) == key(got)
     assert passages(empty).count() == 0
+
+
+def spans(spark, texts):
+    """Passages of texts whose ids are their places: (doc, other) -> [(start, end, other_start, other_end)]."""
+    out = {}
+    for r in passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        out.setdefault((r.doc_id, r.other_id), []).append((r.start_word, r.end_word, r.other_start, r.other_end))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def test_a_chain_that_is_too_unlike_is_split_at_its_gaps(spark):
+    import random
+
+    from tests.llm.conftest import prose
+
+    rng = random.Random(31)
+    for length, gap in ((50, 30), (50, 50), (200, 120), (200, 300)):
+        a, b = prose(rng, length), prose(rng, length)
+        got = spans(spark, [f"{a} {b}", f"{a} {prose(rng, gap)} {b}"])
+        near = lambda x, y: all(abs(u - v) <= 2 for u, v in zip(x, y))
+        assert len(got[1, 0]) == 2
+        assert near(got[1, 0][0], (0, length, 0, length)) and near(got[1, 0][1], (length + gap, 2 * length + gap, length, 2 * length))
