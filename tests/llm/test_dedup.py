@@ -215,3 +215,22 @@ def test_a_chain_that_is_too_unlike_is_split_at_its_gaps(spark):
         near = lambda x, y: all(abs(u - v) <= 2 for u, v in zip(x, y))
         assert len(got[1, 0]) == 2
         assert near(got[1, 0][0], (0, length, 0, length)) and near(got[1, 0][1], (length + gap, 2 * length + gap, length, 2 * length))
+
+
+def test_passages_with_words_changed_throughout(spark):
+    import random
+
+    from tests.llm.conftest import prose
+
+    rng = random.Random(32)
+    texts = []
+    for i in range(40):
+        a = prose(rng, 60).split()
+        b = list(a)
+        for j in rng.sample(range(60), 6) if i % 2 else range(5, 60, 6):  # one of ten at random, or every sixth
+            b[j] = prose(rng, 1)
+        texts += [f"{prose(rng, 30)} {' '.join(a)} {prose(rng, 30)}", f"{prose(rng, 30)} {' '.join(b)} {prose(rng, 30)}"]
+    got = spans(spark, texts)
+    assert set(got) <= {(i + 1, i) for i in range(0, 80, 2)}
+    assert len(got) >= 38  # seeds of four words are thinned: a copy with every sixth word changed may share none
+    assert all(len(x) == 1 for x in got.values())
