@@ -234,3 +234,18 @@ def test_passages_with_words_changed_throughout(spark):
     assert set(got) <= {(i + 1, i) for i in range(0, 80, 2)}
     assert len(got) >= 38  # seeds of four words are thinned: a copy with every sixth word changed may share none
     assert all(len(x) == 1 for x in got.values())
+
+
+def test_passages_of_which_an_earlier_document_has_a_part(spark):
+    import random
+
+    from tests.llm.conftest import prose
+
+    rng = random.Random(33)
+    texts = []
+    for _ in range(8):
+        passage = prose(rng, 60)
+        texts += [f"{prose(rng, 20)} {' '.join(x)} {prose(rng, 20)}" for x in (passage.split()[:44], passage.split(), passage.split())]
+    got = spans(spark, texts)
+    for i in range(0, 24, 3):
+        assert [x[1] - x[0] >= 60 for x in got[i + 2, i + 1]] == [True]
