@@ -4,11 +4,13 @@ Texts become token ids, cut into pieces of at most ``capacity`` (only longer one
 remainder). Pieces are dealt at random into groups of about ``GROUP`` and each group is packed by best-fit decreasing. Dual
 feasible functions give a lower bound on the sequences that the group needs: a group that meets it is certified, and only
 its one slack sequence can still be improved by others. The emptiest sequences of the other groups are opened as well,
-``RELEASE`` for each one above the bound; all opened documents are dealt anew to fewer groups and packed again, until one
-group is left. No task ever holds more than about ``GROUP`` pieces.
+``RELEASE`` for each one above the bound, but at most half of a group's pieces; all opened sequences are dealt anew to fewer groups and
+their documents packed again, until one group is left. Rounds are at most the logarithm of the groups. Pieces are dealt by
+a number of their own, so repeated rows spread too, and no task ever holds more than about ``GROUP`` pieces.
 
 Token ids equal those of the ``tokenizers`` file: the same ranks are run by tiktoken, which is four times as fast; texts
-that hold the text of the special token go through ``tokenizers`` itself, so that they match there too.
+that hold the text of the special token, and those that tiktoken's pattern can't take (some hundred thousand blanks in a row), go
+through ``tokenizers`` itself.
 
 Defined cases: null and empty texts are one piece, the end id alone; repeated rows are packed twice; an empty table gives
 no row; null ids are packed like others.
@@ -55,9 +57,12 @@ def encoder(path: str):
         quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
         def encode(text: str) -> np.ndarray:
-            if any(x in text for x in special):
-                return np.array(exact.encode(text, add_special_tokens=False).ids, np.uint32)
-            return quick.encode_to_numpy(text)
+            if not any(x in text for x in special):
+                try:
+                    return quick.encode_to_numpy(text)
+                except ValueError:  # the pattern's stack is limited
+                    pass
+            return np.array(exact.encode(text, add_special_tokens=False).ids, np.uint32)
 
         _ENCODERS[path] = encode
     return _ENCODERS[path]
@@ -135,10 +140,10 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
 def pack_group(rows: pd.DataFrame, capacity: int, last: bool, step: int) -> pd.DataFrame:
     """One group: packed, its bound, and which of its sequences stay.
 
-    A certified group lets go only its emptiest sequence, another one a fixed number for each sequence above the bound.
-    If packing anew takes more sequences than the documents came in with, they stay as they were.
+    A certified group lets go only its emptiest sequence, another one a fixed number for each sequence above the bound, with at most
+    half of the pieces. From the second round on whole sequences come in: if packing anew takes more of them, they stay as they were.
     """
-    rows = rows.sort_values(["length", "doc_id", "piece", "start"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
+    rows = rows.sort_values(["length", "uid"], ascending=[False, True], kind="stable").reset_index(drop=True)
     sizes = rows["length"].to_numpy()
     bins, offsets = best_fit(sizes, capacity)
     if step and rows["sequence_id"].nunique() < bins.max() + 1:
@@ -149,7 +154,8 @@ def pack_group(rows: pd.DataFrame, capacity: int, last: bool, step: int) -> pd.D
     stays = np.ones(len(filled), bool)
     if not last:
         emptiest = np.argsort(filled, kind="stable")[: 1 + RELEASE * gap]
-        stays[emptiest[filled[emptiest] < capacity]] = False
+        emptiest = emptiest[filled[emptiest] < capacity]
+        stays[emptiest[np.cumsum(np.bincount(bins)[emptiest]) <= len(rows) // 2]] = False
     rows["sequence_id"] = (np.int64(step) << 58) + (rows["g"].to_numpy() << 24) + bins
     rows["offset"] = offsets
     rows["done"] = stays[bins]
@@ -171,25 +177,24 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     above the certified bound; 0: proven optimal within the group)."""
     spark = docs.sparkSession
     prepare(spark)
-    rest = materialise(pieces(docs, id_col, text_col, capacity, path or vocabulary()), "pieces")
+    cut = pieces(docs, id_col, text_col, capacity, path or vocabulary())
+    rest = materialise(cut.withColumn("uid", F.monotonically_increasing_id()), "pieces")
     kind = rest.schema["doc_id"].dataType.simpleString()
     names = "doc_id", "piece", "start", "length", "ids_crc32"
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, g long, done boolean, gap long"
+    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, uid long, sequence_id long, offset long, g long, done boolean, gap long"
     rest = rest.withColumns({"sequence_id": F.lit(-1).cast("long"), "offset": F.lit(0).cast("long")})
     n = rest.count()
-    groups, step, parts = -(-n // group), 0, []
-    if groups > 1:
-        groups = max(groups, spark.sparkContext.defaultParallelism)
+    groups, step, parts = max(-(-n // group), min(spark.sparkContext.defaultParallelism, n // 4096)), 0, []
     while n:
         last = groups <= 1
-        dealt = rest.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(step)), F.lit(max(1, groups))).cast("long"))
+        dealt = rest.withColumn("g", F.pmod(F.xxhash64("sequence_id" if step else "uid", F.lit(step)), F.lit(max(1, groups))).cast("long"))
         packed = materialise(dealt.groupBy("g").applyInPandas(_packer(capacity, last, step, schema), schema), f"packed{step}")
         parts.append(packed.where("done").select(*names, "sequence_id", "offset", "gap"))
         if last:
             break
-        rest = packed.where("not done").select(*names, "sequence_id", "offset")
-        left = rest.count()
-        groups, n, step = min(-(-left // group), groups - 1), left, step + 1
+        rest = packed.where("not done").select(*names, "uid", "sequence_id", "offset")
+        n = rest.count()
+        groups, step = min(-(-n // group), groups - 1), step + 1
     if not parts:
         return rest.select(*names, "sequence_id", "offset", F.lit(0).cast("long").alias("gap"))
     out = parts[0]

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters that separate words: space and tab to carriage return.
 WHITE = " \t\n\x0b\x0c\r"
@@ -34,20 +35,28 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder that all executors share, from ``spark.checkpoint.dir``; only on a single machine one of our own, where that is unset."""
     home = spark.conf.get("spark.checkpoint.dir", None)
     if not home:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         home = "file://" + tempfile.mkdtemp(prefix="formgrain-")
         spark.conf.set("spark.checkpoint.dir", home)
     return home.rstrip("/")
 
 
-_WRITTEN: list[str] = []
+#: Application -> tables that it has written and not yet deleted.
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def written(spark: SparkSession) -> list[str]:
+    return _WRITTEN.setdefault(spark.sparkContext.applicationId, [])
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    _WRITTEN.append(f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}")
-    return _WRITTEN[-1]
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    written(spark).append(path)
+    return path
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
@@ -58,11 +67,32 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all intermediate tables that this session has written; results that still read them must be saved before."""
-    while _WRITTEN:
-        at = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+def release(spark: SparkSession, first: int = 0, last: int | None = None) -> None:
+    """Delete the intermediate tables that this application has written (of those ``written``, the range); results that read them must be saved before."""
+    paths = written(spark)
+    for path in paths[first:last]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    del paths[first:last]
+
+
+def row_key(docs: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """``docs``, written once with a number for each row, and the name of that column, which no other column has."""
+    name, taken = "row", {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return materialise(docs.withColumn(name, F.monotonically_increasing_id()), tag), name
+
+
+def filter_rows(docs: DataFrame, text_col: str, keep) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text ``keep`` (of a column of texts, one boolean each) keeps. Nothing is shuffled."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch.column(at)), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
