@@ -12,7 +12,8 @@ is no hot key; only matched pairs leave a task.
 
 Defined cases: null and blank texts match nothing, on both sides; an item with fewer than ``N`` words is a seed as a whole and has to
 occur as it is; a longer one than ``N + 1`` words has to score more than a lone seed does (this matters for items of 5 and 6
-words); equal items and items that repeat each give their own pairs; rows that repeat a document each give theirs;
+words); of several stretches that hold an item the best is given, and the score is the share of the whole item, so that less than
+``LEAST_SCORE`` of a long item is no match; equal items and items that repeat each give their own pairs; rows that repeat a document each give theirs;
 empty tables give no row; ids are carried along, other columns are not read.
 """
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formgrain.llm.common import Words, blocks, materialise, prepare, shingle_hashes, table, utf8
+from formgrain.llm.common import Words, blocks, filter_rows, materialise, prepare, shingle_hashes, table, utf8
 
 N = 3
 BLOCK_BYTES = 8 << 20
@@ -67,16 +68,16 @@ class Items:
         self.starts = np.cumsum(self.lengths) - self.lengths
 
     def seeds(self) -> dict[int, tuple]:
-        """Per width: set of seeds, and for each seed the items and places that it stands for."""
+        """Per width: set of seeds, and for each seed the items that it stands for."""
         out = {}
         for n in self.widths:
             some = [i for i, w in enumerate(self.words) if len(w) and min(N, len(w)) == n]
-            hashes = np.concatenate([self.hashes[i] for i in some])
-            item = np.repeat(some, [len(self.hashes[i]) for i in some])
-            place = np.concatenate([np.arange(len(self.hashes[i])) for i in some])
-            order = np.argsort(hashes, kind="stable")
-            distinct, first = np.unique(hashes[order], return_index=True)
-            out[n] = Grams(distinct), np.append(first, len(order)), item[order], place[order]
+            item, hashes = np.repeat(some, [len(self.hashes[i]) for i in some]), np.concatenate([self.hashes[i] for i in some])
+            order = np.lexsort((item, hashes))
+            item, hashes = item[order], hashes[order]
+            once = np.append(True, (hashes[1:] != hashes[:-1]) | (item[1:] != item[:-1]))
+            distinct, first = np.unique(hashes[once], return_index=True)
+            out[n] = Grams(distinct), np.append(first, int(once.sum())), item[once]
         return out
 
     def reachable(self, some: np.ndarray, words: np.ndarray, least: float) -> np.ndarray:
@@ -120,39 +121,44 @@ def stretches(diagonals: np.ndarray, length: int) -> list[np.ndarray]:
     return np.split(order, np.flatnonzero(np.diff(diagonals[order]) > max(4, length // 2)) + 1)
 
 
-def matches(words: np.ndarray, items: Items, seeds: dict[int, tuple], least: float) -> list[tuple[int, float, int, int, int]]:
-    """Of one text: (item, score, first word, last word + 1, seeds)."""
-    hits = []
-    for n, (grams, first, item, place) in seeds.items():
-        at, i = grams.find(shingle_hashes(words, n))
-        times = first[i + 1] - first[i]
-        x = np.repeat(first[i] - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
-        p = np.repeat(at, times)
-        hits.append(np.stack([item[x], p - place[x], p, place[x]], axis=1))
-    hits = np.concatenate(hits) if hits else np.empty((0, 4), np.int64)
-    if not len(hits):
-        return []
-    some = np.unique(hits[:, 0])
-    hits = hits[np.isin(hits[:, 0], some[items.reachable(some, words, least)])]
-    if not len(hits):
-        return []
-    hits = hits[np.lexsort(hits.T[::-1])]
-    out = []
-    for part in np.split(hits, np.flatnonzero(np.diff(hits[:, 0])) + 1):
-        own = items.words[part[0, 0]]
+def candidates(words: np.ndarray, items: Items, seeds: dict[int, tuple], least: float) -> np.ndarray:
+    """Items that have a seed in a text, and enough words in it."""
+    found = []
+    for n, (grams, first, item) in seeds.items():
+        _, i = grams.find(np.unique(shingle_hashes(words, n)))
+        found += [item[first[k] : first[k + 1]] for k in i.tolist()]
+    some = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+    return some[items.reachable(some, words, least)] if len(some) else some
+
+
+def matches(words: np.ndarray, items: Items, seeds: dict[int, tuple], least: float):
+    """Of one text, for each item in it the best stretch: (item, score, first word, last word + 1, seeds). One item's hits are held at a time."""
+    some = candidates(words, items, seeds, least)
+    if not len(some):
+        return
+    sorted_grams = {}
+    for n in {min(N, len(items.words[x])) for x in some.tolist()}:
+        hashes = shingle_hashes(words, n)
+        order = np.argsort(hashes, kind="stable")
+        sorted_grams[n] = hashes[order], order
+    for x in some.tolist():
+        own = items.words[x]
+        hashes, order = sorted_grams[min(N, len(own))]
+        low, high = np.searchsorted(hashes, items.hashes[x]), np.searchsorted(hashes, items.hashes[x], "right")
+        times = high - low
+        at = order[np.repeat(low - np.cumsum(times) + times, times) + np.arange(int(times.sum()))]
+        diagonal = at - np.repeat(np.arange(len(times)), times)
         found = []
-        for group in stretches(part[:, 1], len(own)):
-            some = part[group]
+        for group in stretches(diagonal, len(own)):
             pad = max(4, len(own) // 4)
-            a, b = max(0, int(some[:, 1].min()) - pad), min(len(words), int(some[:, 1].max()) + len(own) + pad)
-            if not items.reachable(part[:1, 0], words[a:b], least)[0]:
+            a, b = max(0, int(diagonal[group].min()) - pad), min(len(words), int(diagonal[group].max()) + len(own) + pad)
+            if not items.reachable(np.array([x]), words[a:b], least)[0]:
                 continue
             score, s, e = align(own, words[a:b])
             if score >= least and (len(own) <= N + 1 or score * len(own) > N):
-                found.append((int(part[0, 0]), score, a + s, a + e, len(some)))
+                found.append((x, score, a + s, a + e, len(group)))
         if found:
-            out.append(max(found, key=lambda x: (x[1], -x[2])))
-    return out
+            yield max(found, key=lambda y: (y[1], -y[2]))
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -165,44 +171,77 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     prepare(spark)
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).where(F.length("text") > 0)
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // BLOCK_BYTES))
     found = None
+    for texts, ids in _queries(items):
+        one = _pass(_texts(docs, id_col, text_col), texts, ids, kind, item_kind, least)
+        found = one if found is None else found.unionByName(one)
+    return spark.createDataFrame([], _schema(kind, item_kind)) if found is None else found
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no item; each goes by its own text."""
+    prepare(docs.sparkSession)
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).where(F.length("text") > 0)
+    for texts, _ in _queries(items):
+        model = _model(docs.sparkSession, texts)
+
+        def free(column, model=model):
+            out = np.ones(len(column), bool)
+            out[[i for i, _ in _hits(column, *model.value, least, first=True)]] = False
+            return out
+
+        docs = filter_rows(docs, text_col, free)
+    return docs
+
+
+def _schema(kind: str, item_kind: str) -> str:
+    return f"doc_id {kind}, item_id {item_kind}, score double, first_word long, last_word long, n_seeds long"
+
+
+def _queries(items: DataFrame):
+    """Texts and ids of the items, a block of at most about ``BLOCK_BYTES`` at a time."""
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = -(-size // BLOCK_BYTES)
     for part in range(parts):
         some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id", "text").toArrow()
-        one = _pass(spark, _texts(docs, id_col, text_col), some, kind, item_kind, least)
-        found = one if found is None else found.unionByName(one)
-    return found
+        if some.num_rows:
+            yield some.column("text"), some.column("item_id").combine_chunks()
+
+
+def _model(spark: SparkSession, texts):
+    items = Items(texts)
+    return spark.sparkContext.broadcast((items, items.seeds()))
+
+
+def _hits(column, items: Items, seeds: dict[int, tuple], least: float, first: bool = False):
+    """(row, match) of a column of texts; of each row the ``first`` one only."""
+    raw, offsets = utf8(column)
+    for a, b in blocks(offsets):
+        words = Words(raw, offsets, a, b)
+        hot = np.zeros(b - a, bool)
+        for n, (grams, *_) in seeds.items():
+            at, _ = grams.find(shingle_hashes(words.hash, n))
+            hot[np.searchsorted(words.first, at, "right") - 1] = True
+        for i in np.flatnonzero(hot).tolist():
+            for row in matches(words.hash[words.first[i] : words.last[i]], items, seeds, least):
+                yield a + i, row
+                if first:
+                    break
 
 
-def _pass(spark: SparkSession, texts: DataFrame, some: pa.Table, kind: str, item_kind: str, least: float) -> DataFrame:
-    schema = f"doc_id {kind}, item_id {item_kind}, score double, first_word long, last_word long, n_seeds long"
-    if not some.num_rows:
-        return spark.createDataFrame([], schema)
-    items = Items(some.column("text"))
-    model = spark.sparkContext.broadcast((items, items.seeds(), some.column("item_id").to_pylist()))
+def _pass(texts: DataFrame, queries, ids: pa.Array, kind: str, item_kind: str, least: float) -> DataFrame:
+    model, names = _model(texts.sparkSession, queries), texts.sparkSession.sparkContext.broadcast(ids)
 
     def search(batches):
-        items, seeds, ids = model.value
-        item_type = some.schema.field("item_id").type
         for batch in batches:
-            raw, offsets = utf8(batch.column(1))
-            rows, keys = [], []
-            for a, b in blocks(offsets):
-                words = Words(raw, offsets, a, b)
-                hot = np.zeros(b - a, bool)
-                for n, (grams, *_) in seeds.items():
-                    at, _ = grams.find(shingle_hashes(words.hash, n))
-                    hot[np.searchsorted(words.first, at, "right") - 1] = True
-                for i in np.flatnonzero(hot).tolist():
-                    for row in matches(words.hash[words.first[i] : words.last[i]], items, seeds, least):
-                        rows.append((ids[row[0]], *row[1:]))
-                        keys.append(a + i)
-            if rows:
-                types = item_type, pa.float64(), pa.int64(), pa.int64(), pa.int64()
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys)), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], ["doc_id", "item_id", "score", "first_word", "last_word", "n_seeds"])
-
-    return texts.mapInArrow(search, schema)
+            found = list(_hits(batch.column(1), *model.value, least))
+            if found:
+                keys, rows = zip(*found)
+                item, *cols = zip(*rows)
+                types = pa.float64(), pa.int64(), pa.int64(), pa.int64()
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys)), names.value.take(pa.array(item)), *(pa.array(c, t) for c, t in zip(cols, types))], ["doc_id", "item_id", "score", "first_word", "last_word", "n_seeds"])
+
+    return texts.mapInArrow(search, _schema(kind, item_kind))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,11 +23,12 @@ from formgrain.llm.common import WHITE, materialise, prepare, table
 COUNTERS = 1024
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, sha256 of the text without white space, code points of the text as it is."""
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> DataFrame:
+    """id, what orders ties, sha256 of the text without white space, code points of the text as it is."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
         F.col(id_col).alias("doc_id"),
+        F.col(order_col or id_col).alias("tie"),
         F.unhex(F.sha2(F.translate(text, WHITE, ""), 256)).alias("digest"),
         F.length(text).cast("long").alias("n_points"),
     )
@@ -43,7 +44,10 @@ def misra_gries(counts: Counter, more: Counter, k: int) -> Counter:
 
 
 def frequent(rows: DataFrame, k: int) -> DataFrame:
-    """At most ``k`` digests, among them each that more than 1/(k+1) of the rows have."""
+    """At most ``k`` digests that are likely frequent: the largest sums of the summaries of all tasks.
+
+    What is named here decides how a digest's rows travel, never the result: counts and winners are exact either way.
+    """
 
     def summary(batches):
         counts: Counter = Counter()
@@ -56,12 +60,12 @@ def frequent(rows: DataFrame, k: int) -> DataFrame:
     return parts.groupBy("digest").agg(F.sum("low").alias("low")).orderBy(F.desc("low"), "digest").limit(k)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS, order_col: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256. Ties go to the smallest ``order_col``, then to the smallest id."""
     spark = docs.sparkSession
     prepare(spark)
-    rows = materialise(digests(docs, id_col, text_col), "digests")
-    best = F.min(F.struct((-F.col("n_points")).alias("n"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id")))
+    rows = materialise(digests(docs, id_col, text_col, order_col), "digests")
+    best = F.min(F.struct((-F.col("n_points")).alias("n"), F.col("tie").isNull().alias("none"), "tie", F.col("doc_id").isNull().alias("blank"), F.col("doc_id").alias("id")))
     winners = lambda some: some.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
     heavy = F.broadcast(materialise(frequent(rows, counters).select("digest"), "frequent"))  # <= counters rows
     top = F.broadcast(materialise(winners(rows.join(heavy, "digest", "left_semi")), "winners"))  # <= counters rows

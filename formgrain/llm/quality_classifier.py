@@ -10,7 +10,7 @@ order of a hash of the id. Everything else runs over all rows and whole texts.
 
 Defined cases: null and empty texts get the score of the bias; labels that are null or of another value are not learned
 from, nor are ids with contradicting labels in doubt: each row counts; without a label of both classes the score is 0.5
-throughout; repeated rows are scored alike; an empty table gives no row; labels, lang, source and id never enter a score.
+throughout; repeated rows are scored alike; rows without an id are not held out; an empty table gives no row; labels, lang, source and id never enter a score.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formgrain.llm.common import Words, blocks, crc_mod, mix, prepare, table, utf8
+from formgrain.llm.common import Words, blocks, crc_mod, filter_rows, mix, prepare, table, utf8
 
 BITS = 18
 DIM = 8
@@ -112,29 +112,43 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     return rows.orderBy(F.xxhash64("id"), "id", "label", "text").limit(3 * least).toPandas()
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, score, predicted. ``labels`` holds the rows that may be learned from."""
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str):
+    """A broadcast model and the function that scores a column of texts with it."""
     spark = docs.sparkSession
     prepare(spark)
     known = sample(docs, labels, id_col, text_col, label_col)
     model = spark.sparkContext.broadcast(train(pa.array(known["text"], pa.string()), known["label"].to_numpy(np.int64)))
+
+    def scores(texts: pa.Array) -> np.ndarray:
+        raw, offsets = utf8(texts)
+        return np.concatenate([np.empty(0), *(score_block(Words(raw, offsets, a, b), *model.value) for a, b in blocks(offsets))])
+
+    return scores
+
+
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
+    """One row per document: doc_id, score, predicted. ``labels`` holds the rows that may be learned from."""
+    scores = fitted(docs, labels, id_col, text_col, label_col)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        weights, bias = model.value
         for batch in batches:
-            raw, offsets = utf8(batch.column(1))
-            scores = [score_block(Words(raw, offsets, a, b), weights, bias) for a, b in blocks(offsets)]
-            score = np.concatenate(scores) if scores else np.empty(0)
+            score = scores(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, score double, predicted int")
 
 
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are not rejected; each goes by its own text."""
+    scores = fitted(docs, labels, id_col, text_col, label_col)
+    return filter_rows(docs, text_col, lambda texts: scores(texts) >= threshold)
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(f"{crc_mod('doc_id', 4)} <> 2")
     found = classify(table(spark, sf_dir, "documents"), labels)
-    return found.select("doc_id", F.expr(f"{crc_mod('doc_id', 4)} = 2").alias("held_out"), "score", "predicted")
+    return found.select("doc_id", F.expr(f"coalesce({crc_mod('doc_id', 4)} = 2, false)").alias("held_out"), "score", "predicted")
 
 
 ORACLE: dict[str, str] = {}
