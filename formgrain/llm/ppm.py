@@ -2,36 +2,40 @@
 
 Texts are scored in the normal form that the base score uses too: ASCII lower case, words joined by one space, one end
 symbol, so that both are probabilities of the same event. The byte-context trie holds, for every context of up to ``ORDER``
-bytes, how often each byte followed it in the training rows. A byte that was seen in the longest context gets c / (n + d) (n
-times seen, d different bytes: escape method C); otherwise the escape mass goes to the next shorter context, where the bytes that
-the longer one has already offered are excluded and the rest is scaled up to one. Below order 0 all bytes are alike.
+bytes, how often each byte followed it in the training rows. A byte that was seen c times in the longest context gets
+(2c - 1) / 2n (n times seen, d different bytes: escape method D, which leaves d / 2n); otherwise the escape mass goes to the next shorter
+context, where the bytes that the longer one has already offered are excluded and the rest is scaled up to one. Below order 0 all
+bytes are alike.
 
-Every task counts its (ORDER + 1)-grams with one sort, and one shuffle adds them up; lower orders are sums over the first
-bytes. Nodes seen in less than ``SHARE`` of all positions fold into the escape mass, so each order has at most 1 / SHARE nodes
-(here four million) however large the corpus is: that is the bound of what is broadcast. n and d are those of the whole corpus.
+Every task counts its (ORDER + 1)-grams with one sort, and one shuffle adds them up; lower orders are sums over the last bytes. All
+nodes of the trie take part, however rare, so the model grows with the corpus; it lives in tables, one for each order. Only the most
+frequent nodes of the highest order, at most ``NODES`` (a hash table of 32 MB), are broadcast. They settle most bytes in the pass over the
+texts. All others are rows (text, gram, times), which are joined with the table of the highest order and, as far as they aren't
+in it, with those of the contexts and of the next lower order, and so on: what was never seen, a small part of held-out texts.
 
-Base score: word counts come from one shuffle; words with a share of ``WORD_SHARE`` or more (so at most 1 / WORD_SHARE) are
-broadcast, the occurrences of all others are joined with their counts in a shuffle, by a 64-bit hash of the word.
+Base score: word counts come from the same shuffle; the most frequent words, at most ``NODES``, are broadcast, the occurrences of all others
+are joined with their counts, by a 64-bit hash of the word.
 
 Defined cases: null, empty and blank texts are one end; without training rows N and V are 0 and each base term is
 log10(0.1 / 0.1) = 0 while bytes are alike; repeated rows are scored and learned from as often as they occur; rows that share an id
-each come out once; an empty table gives no row; other columns are not read.
+each come out once; rows without an id are not held out; an empty table gives no row; other columns are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from formgrain.llm.common import Words, blocks, crc_mod, materialise, prepare, signed, table, utf8
+from formgrain.llm.common import Words, blocks, crc_mod, materialise, mix, prepare, signed, table, utf8
 
-ORDER = 5
-SHARE = 2.5e-7
-WORD_SHARE = 2.5e-7
+ORDER = 6
+NODES = 1 << 20
 END = 10
 _GRAM, _WORD, _DOCS = 0, 1, 2
+_TEXT = 3
 
 
 def normal_form(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,7 +61,7 @@ def normal_form(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, starts, ends
 
 
-def grams(text: np.ndarray) -> np.ndarray:
+def grams_of(text: np.ndarray) -> np.ndarray:
     """At each place from ORDER on, its byte (lowest) and the ORDER bytes before it."""
     wide = text.astype(np.int64)
     key = wide[ORDER:].copy()
@@ -105,7 +109,7 @@ def count_corpus(texts: DataFrame) -> DataFrame:
             for a, b in blocks(offsets):
                 words = Words(raw, offsets, a, b)
                 text, starts, ends = normal_form(words)
-                keys = grams(text)
+                keys = grams_of(text)
                 held[_GRAM].append(tally(keys[places(starts, ends, len(keys))]))
                 held[_WORD].append(tally(signed(words.hash)))
             for kind in held:
@@ -118,151 +122,205 @@ def count_corpus(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-class Trie:
-    """Per order: kept grams with log10 probabilities, contexts with the log10 factor of what they leave to shorter ones."""
-
-    def __init__(self, nodes: list[tuple], contexts: list[tuple]):
-        """nodes[k]: keys, counts; contexts[k]: keys, n, d; keys ascending."""
-        self.grams, self.logs, self.contexts, self.rest = [], [], [], []
-        for (keys, c), (where, n, d) in zip(nodes, contexts):
-            own = np.searchsorted(where, keys >> 8)
-            p = c / (n[own] + d[own])
-            spent = np.bincount(own, p, len(where))
-            lower = np.bincount(own, 10.0 ** self.lookup(keys & ((1 << (8 * max(1, len(self.grams)))) - 1)) if self.grams else np.full(len(keys), 1 / 256), len(where))
-            self.grams.append(keys)
-            self.logs.append(np.log10(p))
-            self.contexts.append(where)
-            self.rest.append(np.log10(np.maximum(1 - spent, 1e-12)) - np.log10(np.maximum(1 - lower, 1e-12)))
-
-    def lookup(self, key: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of each gram (of as many bytes as the trie has orders so far)."""
-        out = np.zeros(len(key))
-        todo = np.arange(len(key))
-        for k in range(len(self.grams) - 1, -1, -1):
-            own = key[todo] & ((1 << (8 * (k + 1))) - 1)
-            if len(self.grams[k]):
-                i = np.minimum(np.searchsorted(self.grams[k], own), len(self.grams[k]) - 1)
-                hit = self.grams[k][i] == own
-                out[todo[hit]] += self.logs[k][i[hit]]
-                todo, own = todo[~hit], own[~hit] >> 8
-                j = np.minimum(np.searchsorted(self.contexts[k], own), len(self.contexts[k]) - 1)
-                known = self.contexts[k][j] == own
-                out[todo[known]] += self.rest[k][j[known]]
-        out[todo] -= np.log10(256)
-        return out
-
-
-def build_trie(counts: DataFrame) -> Trie:
-    """The kept nodes, at most 1 / SHARE of each order, reach the driver."""
-    spark = counts.sparkSession
-    top = counts.where(F.col("kind") == _GRAM)
-    total = top.agg(F.sum("n")).first()[0] or 0
-    least = max(1.0, total * SHARE)
-    orders = top.select("n", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("key").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)).alias("key")) for k in range(ORDER + 1)])).alias("x"))
-    by_key = orders.groupBy("x.k", "x.key").agg(F.sum("n").alias("n"))
-    by_context = by_key.groupBy("k", F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d"), F.sort_array(F.collect_list(F.when(F.col("n") >= least, F.struct((F.col("key") % 256).alias("byte"), "n")))).alias("kept"))  # at most 256 bytes
-    rows = by_context.where(F.size("kept") > 0).toArrow()
-    k, context, n, d = (rows.column(i).to_numpy() for i in range(4))
-    flat = rows.column(4).combine_chunks()
-    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) and flat.num_chunks else flat
-    sizes = np.diff(flat.offsets.to_numpy()) if len(rows) else np.empty(0, np.int64)
-    byte, c = (flat.flatten().field(i).to_numpy() if len(rows) else np.empty(0, np.int64) for i in range(2))
-    own = np.repeat(np.arange(len(k)), sizes)
-    nodes, contexts = [], []
-    for order in range(ORDER + 1):
-        here = k[own] == order
-        keys = (context[own[here]] << 8) | byte[here]
-        i = np.argsort(keys)
-        nodes.append((keys[i], c[here][i]))
-        at = np.flatnonzero(k == order)
-        at = at[np.argsort(context[at])]
-        contexts.append((context[at], n[at], d[at]))
-    return Trie(nodes, contexts)
-
-
-def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+class Lookup:
+    """Numbers by 64-bit key: open addressing in arrays with at least two places a key. The key -1 is none."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, (2 * len(keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.slots, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits)
+        todo, at = np.arange(len(keys)), self._start(keys)
+        while len(todo):
+            free = np.flatnonzero(self.slots[at] == -1)
+            place, first = np.unique(at[free], return_index=True)
+            put = free[first]
+            self.slots[place], self.values[place] = keys[todo[put]], values[todo[put]]
+            rest = np.ones(len(todo), bool)
+            rest[put] = False
+            todo, at = todo[rest], self._next(at[rest])
+
+    def _start(self, keys: np.ndarray) -> np.ndarray:
+        return (mix(keys.astype(np.int64).view(np.uint64)) >> self.shift).astype(np.int64)
+
+    def _next(self, at: np.ndarray) -> np.ndarray:
+        return (at + 1) & (len(self.slots) - 1)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are there, and their numbers (0 for the others)."""
+        at, todo = self._start(keys), np.arange(len(keys))
+        hit, out = np.zeros(len(keys), bool), np.zeros(len(keys))
+        while len(todo):
+            there = self.slots[at]
+            same = there == keys[todo]
+            hit[todo[same]] = True
+            out[todo[same]] = self.values[at[same]]
+            on = ~same & (there != -1)
+            todo, at = todo[on], self._next(at[on])
+        return hit, out
+
+
+def most_frequent(rows: DataFrame, value, most: int = NODES) -> tuple[Lookup, float]:
+    """Of (key, n), ``value`` of the most frequent keys, at most ``most``, and the least n that they have."""
+    sizes = rows.groupBy(F.floor(F.log2("n")).alias("power")).agg(F.count(F.lit(1)).alias("keys")).orderBy(F.desc("power")).collect()  # at most 64 rows
+    held, power = 0, 64
+    for x in sizes:
+        if held + x["keys"] > most:
+            break
+        held, power = held + x["keys"], x["power"]
+    top = rows.where(F.floor(F.log2("n")) >= power).select("key", value.alias("x")).toArrow()  # <= most rows
+    return Lookup(top.column(0).to_numpy(), top.column(1).to_numpy()), float(2**power)
+
+
+def _bytes(k: int) -> int:
+    return (1 << (8 * (k + 1))) - 1
+
+
+def build_trie(counts: DataFrame) -> list[DataFrame]:
+    """For each order k its nodes: key (the byte and the k before it), n (times seen), p, and escape (what its context leaves)."""
+    grams, out = counts.where(F.col("kind") == _GRAM).select("key", "n"), []
+    context = Window.partitionBy(F.shiftright("key", 8))
+    for k in range(ORDER, -1, -1):
+        if k < ORDER:
+            grams = out[-1].groupBy(F.col("key").bitwiseAND(F.lit(_bytes(k))).alias("key")).agg(F.sum("n").alias("n"))
+        seen = grams.withColumns({"total": F.sum("n").over(context), "different": F.count(F.lit(1)).over(context)})
+        out.append(materialise(seen.select("key", "n", ((2 * F.col("n") - 1) / (2 * F.col("total"))).alias("p"), (F.col("different") / (2 * F.col("total"))).alias("escape")), f"order{k}"))
+    return out[::-1]
+
+
+def settle(rows: DataFrame, trie: list[DataFrame]) -> DataFrame:
+    """(row, key, times) of grams of the highest order -> (row, gain): the sum of their bytes' log10 probabilities.
+
+    ``add`` is what the contexts that didn't have a byte have added for it so far. The rows that go on from order to order are few: a
+    byte of a training text is always found in the highest.
+    """
+    gains = []
+    rows = rows.withColumn("add", F.lit(0.0))
+    for k in range(len(trie) - 1, -1, -1):
+        tried = rows.join(trie[k].select("key", "p"), "key", "left")
+        gains.append(tried.where("p is not null").groupBy("row").agg(F.sum(F.col("times") * F.log10("p") + F.col("add")).alias("gain")))
+        missed = materialise(tried.where("p is null").select("row", "key", "times", "add"), "missed")
+        if missed.isEmpty():
+            return _union(gains)
+        missed = missed.withColumn("context", F.shiftright("key", 8))
+        asked = missed.select("context").distinct()
+        nodes = trie[k].withColumn("context", F.shiftright("key", 8)).join(asked, "context", "left_semi")
+        if k:
+            lower = trie[k - 1].select(F.col("key").alias("low"), F.col("p").alias("lower"))
+            nodes = nodes.withColumn("low", F.col("key").bitwiseAND(F.lit(_bytes(k - 1)))).join(lower, "low")
+        else:
+            nodes = nodes.withColumn("lower", F.lit(1 / 256))
+        left = F.greatest(F.lit(1.0) - F.sum("lower"), F.lit(1e-12))
+        factor = nodes.groupBy("context").agg((F.log10(F.max("escape")) - F.log10(left)).alias("factor"))
+        passed = missed.join(factor, "context", "left").withColumn("add", F.col("add") + F.col("times") * F.coalesce("factor", F.lit(0.0)))
+        if not k:
+            gains.append(passed.groupBy("row").agg(F.sum(F.col("add") - F.col("times") * float(np.log10(256))).alias("gain")))
+            return _union(gains)
+        rows = passed.groupBy("row", F.col("key").bitwiseAND(F.lit(_bytes(k - 1))).alias("key")).agg(F.sum("times").alias("times"), F.sum("add").alias("add"))
+    return _union(gains)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _distinct(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of each document, and how often each occurs."""
+    order = np.lexsort((key, doc))
+    key, doc = key[order], doc[order]
+    first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))) if len(key) else np.empty(0, np.int64)
+    return key[first], doc[first], np.diff(np.append(first, len(key)))
+
+
+def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", nodes: int = NODES) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     prepare(spark)
     counts = materialise(count_corpus(training.select(F.col(text_col).alias("text"))), "counts")
-    trie = spark.sparkContext.broadcast(build_trie(counts))
-    words = counts.where(F.col("kind") == _WORD)
+    trie = build_trie(counts)
+    grams = spark.sparkContext.broadcast(most_frequent(trie[ORDER], F.log10("p"), nodes)[0])
+    words = counts.where(F.col("kind") == _WORD).select("key", "n")
     facts = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     ends = counts.where(F.col("kind") == _DOCS).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     total, distinct = facts[0] + ends, facts[1] + (ends > 0)
     level = float(np.log10(total + 0.1 * (distinct + 1)))
-    least = max(1.0, total * WORD_SHARE)
-    common = words.where(F.col("n") >= least).select("key", "n").toArrow()  # <= 1 / WORD_SHARE words
-    order = np.argsort(common.column(0).to_numpy())
-    frequent = spark.sparkContext.broadcast((common.column(0).to_numpy()[order], common.column(1).to_numpy()[order]))
+    common, least = most_frequent(words, F.col("n").cast("double"), nodes)
+    frequent = spark.sparkContext.broadcast(common)
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
-
-    def split(words: Words):
-        """Which words are frequent, and their counts."""
-        keys, n = frequent.value
-        own = signed(words.hash)
-        if not len(keys):
-            return own, np.zeros(len(own), bool), np.zeros(len(own), np.int64)
-        i = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-        hit = keys[i] == own
-        return own, hit, np.where(hit, n[i], 0)
-
-    def rare(batches):
-        for batch in batches:
-            raw, offsets = utf8(batch.column(1))
-            for a, b in blocks(offsets):
-                words = Words(raw, offsets, a, b)
-                own, hit, _ = split(words)
-                doc = np.repeat(np.arange(a, b), words.last - words.first)[~hit]
-                own = own[~hit]
-                o = np.lexsort((own, doc))
-                own, doc = own[o], doc[o]
-                if not len(own):
-                    continue
-                first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (doc[1:] != doc[:-1])]))
-                yield pa.RecordBatch.from_arrays([pa.array(own[first]), batch.column(0).take(pa.array(doc[first])), batch.column(2).take(pa.array(doc[first])), pa.array(np.diff(np.append(first, len(own))).astype(np.int32))], ["key", "doc_id", "mark", "times"])
-
-    def whole(batches):
-        model = trie.value
+
+    def run(batches):
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
-            out = []
             for a, b in blocks(offsets):
                 words = Words(raw, offsets, a, b)
-                _, hit, n = split(words)
+                own = signed(words.hash)
+                hit, n = frequent.value.find(own)
                 sums = np.concatenate([[0.0], np.cumsum(np.where(hit, np.log10(n + 0.1), -1.0))])  # as if rare words were unknown
                 known = np.concatenate([[0], np.cumsum(hit)])
                 text, starts, ends_ = normal_form(words)
-                logs = np.concatenate([[0.0], np.cumsum(model.lookup(grams(text)))])
+                keys = grams_of(text)
+                sure, logs = grams.value.find(keys)
+                total_logs = np.concatenate([[0.0], np.cumsum(logs)])
                 tokens = words.last - words.first + 1
-                out.append((tokens, known[words.last] - known[words.first] + (ends > 0), sums[words.last] - sums[words.first] + np.log10(ends + 0.1) - tokens * level, logs[ends_ - ORDER] - logs[starts - ORDER]))
-            cols = [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0)] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64())], ["doc_id", "mark", "n_tokens", "n_known", "base_score", "score"])
-
-    found = texts.mapInArrow(rare, f"key long, doc_id {kind}, mark long, times int").join(words.where(F.col("n") < least).select("key", "n"), "key")
-    more = found.groupBy("doc_id", "mark").agg(F.sum("times").alias("more"), F.sum(F.col("times") * (F.log10(F.col("n") + 0.1) + 1)).alias("gain"))
-    # Rows that repeat id and text add up in ``more``; each gets its share.
-    copies = texts.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    scored = texts.mapInArrow(whole, f"doc_id {kind}, mark long, n_tokens long, n_known long, base_score double, score double")
-    same = lambda x: F.col("s.doc_id").eqNullSafe(F.col(f"{x}.doc_id")) & (F.col("s.mark") == F.col(f"{x}.mark"))
-    out = scored.alias("s").join(more.alias("m"), same("m"), "left").join(copies.alias("c"), same("c"), "left")
-    times = F.coalesce("copies", F.lit(1))
+                cols = tokens, known[words.last] - known[words.first] + (ends > 0), sums[words.last] - sums[words.first] + np.log10(ends + 0.1) - tokens * level, total_logs[ends_ - ORDER] - total_logs[starts - ORDER]
+                m = b - a
+                none = lambda k, t: pa.nulls(k, t)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, _TEXT, np.int32)), pa.array(row + np.arange(m)), none(m, pa.int64()), none(m, pa.int32()), batch.column(0).slice(a, m), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64())], names)
+                rare_words = _distinct(own[~hit], np.repeat(np.arange(m), words.last - words.first)[~hit])
+                open_ = np.flatnonzero(places(starts, ends_, len(keys)) & ~sure)
+                rare_grams = _distinct(keys[open_], np.searchsorted(starts - ORDER, open_, "right") - 1)
+                for what, (key, doc, times) in ((_WORD, rare_words), (_GRAM, rare_grams)):
+                    if k := len(key):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(k, what, np.int32)), pa.array(row + doc), pa.array(key), pa.array(times.astype(np.int32)), none(k, batch.schema.field(0).type), none(k, pa.int64()), none(k, pa.int64()), none(k, pa.float64()), none(k, pa.float64())], names)
+                row += m
+
+    names = ["kind", "row", "key", "times", "doc_id", "n_tokens", "known", "base", "sure"]
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    found = materialise(texts.mapInArrow(run, f"kind int, row long, key long, times int, doc_id {kind}, n_tokens long, known long, base double, sure double"), "scored")
+    of = lambda what: found.where(F.col("kind") == what)
+    rare = of(_WORD).select("row", "key", "times").join(words.where(F.col("n") < least), "key")
+    more = rare.groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * (F.log10(F.col("n") + 0.1) + 1)).alias("better"))
+    gain = settle(of(_GRAM).select("row", "key", "times"), trie).groupBy("row").agg(F.sum("gain").alias("gain"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    out = of(_TEXT).select("row", "doc_id", "n_tokens", "known", "base", "sure").join(more, "row", "left").join(gain, "row", "left")
     return out.select(
-        "s.doc_id",
+        "doc_id",
         "n_tokens",
-        (F.col("n_known") + F.coalesce((F.col("more") / times).cast("long"), F.lit(0))).alias("n_known"),
+        (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce(F.col("gain") / times, F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("base") + zero("better")).alias("base_score"),
+        (F.col("sure") + zero("gain")).alias("score"),
     )
 
 
 def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = f"{crc_mod('doc_id', 10)} = 0"
-    scored = score_texts(docs, docs.where(f"not coalesce({held_out}, false)"))
+    held_out = f"coalesce({crc_mod('doc_id', 10)} = 0, false)"
+    scored = score_texts(docs, docs.where(f"not {held_out}"))
     return scored.select("doc_id", F.expr(held_out).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-ORACLE: dict[str, str] = {}
+def op4_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op4_ppm`` that SQL can express, the base score to three places."""
+    return op4_ppm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
+MORE = {"op4_base": op4_base}
+
+ORACLE = {
+    "op4_base": r"""
+WITH t AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') || [chr(10)] AS words,
+    xor(4294967295, list_reduce(CAST([4294967295] AS BIGINT[]) || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+      lambda crc, c: list_reduce(CAST([xor(crc, c), 0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1))))) % 10 = 0 AS held_out
+  FROM documents),
+w AS (SELECT doc_id, held_out, unnest(words) AS word FROM t),
+k AS (SELECT word, count(*) AS c FROM w WHERE NOT held_out GROUP BY 1),
+f AS (SELECT sum(c) AS n, count(*) AS v FROM k)
+SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(c) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens,
+  round(sum(log10((coalesce(c, 0) + 0.1) / (n + 0.1 * (v + 1)))), 3) AS base_score
+FROM w LEFT JOIN k USING (word) CROSS JOIN f GROUP BY doc_id""",
+}
