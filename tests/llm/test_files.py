@@ -107,6 +107,33 @@ def test_bounds_hold():
     assert P.lower_bound(np.array([34] * 9), 100) == 5
 
 
+@pytest.mark.parametrize("text", [" " * 5_000_000, "\n" * 5_000_000, "x" * 5_000_000, "a  " + " \t" * 400_000 + "b"])
+def test_long_runs_equal_the_tokenizer(text):
+    from tokenizers import Tokenizer
+
+    path = P.vocabulary()
+    assert P.encoder(path)(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_rows_that_repeat(spark):
+    rng = random.Random(4)
+    rows = spark.createDataFrame([(7, "one and the same")] * 900 + [(None, prose(rng, 30))] * 300 + [(i, prose(rng, rng.randrange(1, 60))) for i in range(300)], "doc_id long, text string")
+    got = P.pack(rows, capacity=256, group=100).collect()
+    assert len(got) == 1500
+    n = check_packing(got, 256)
+    assert n <= 1.05 * P.lower_bound(np.sort([r.length for r in got])[::-1], 256)
+
+
+def test_a_group_opens_at_most_half_of_its_pieces():
+    import pandas as pd
+
+    rows = pd.DataFrame({"length": [129] * 50 + [100] * 10, "uid": range(60), "sequence_id": -1, "offset": 0, "g": 3})
+    out = P.pack_group(rows, 256, False, 0)
+    assert (~out["done"]).sum() <= 30
+    again = P.pack_group(out[~out["done"]].drop(columns=["done", "gap"]).assign(g=0), 256, False, 1)
+    assert len(again) == (~out["done"]).sum()
+
+
 def test_pipeline_stages_against_brute_force(spark, tmp_path):
     rng = random.Random(3)
     good = [(i, prose(rng, 60)) for i in range(60)]
@@ -137,3 +164,64 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     assert sorted({r.doc_id for r in packed}) == fine
     check_packing(packed, 2048)
     assert sorted({r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}) == fine
+
+
+def pipeline_rows(rng):
+    """(number, id, text, kind): null ids, an id that many rows share, rows that repeat, near copies, leaks, junk."""
+    good = [prose(rng, 60) for _ in range(30)]
+    items = [(i, prose(rng, 25)) for i in range(3)]
+    texts = [(t, "good") for t in good]
+    texts += [(good[i].replace(" ", "\n", 1), "copy") for i in range(6)] + [(good[i], "copy") for i in range(3, 9)]
+    texts += [(edited(rng, good[10 + i], 1), "near") for i in range(6)]
+    texts += [(f"{prose(rng, 20)} {t} {prose(rng, 20)}", "leak") for _, t in items]
+    texts += [(" ".join(f"{x}@@@" for x in prose(rng, 60).split()), "junk") for _ in range(20)]
+    ids = [None if i % 3 == 0 else 7 if i % 3 == 1 else 1000 + i for i in range(len(texts))]
+    return [(n, i, t, k) for n, (i, (t, k)) in enumerate(zip(ids, texts))], items
+
+
+def test_pipeline_with_null_and_repeated_ids_and_clashing_names(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(23)
+    rows, items = pipeline_rows(rng)
+    names = ["row", "row_", "_id", "id", "at", "group", "tie", "digest", "key", "n", "hub", "score"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), n) for n, i, t, _ in rows], "doc_id long, text string, lang string, source string, n_chars long, number long")
+    docs = docs.withColumns({x: F.lit("clash") for x in names})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    known = [(900_000 + i, prose(rng, 60), 1) for i in range(40)] + [(910_000 + i, " ".join(f"{x}@@@" for x in prose(rng, 60).split()), 0) for i in range(40)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, q, 0) for i, _, q in known], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    extra = spark.createDataFrame([(i, t, "en", "s", len(t), -1) for i, t, _ in known], "doc_id long, text string, lang string, source string, n_chars long, number long").withColumns({x: F.lit("clash") for x in names})
+    extra.write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        kept[name] = sorted(r.number for r in docs.where("number >= 0").collect())
+    kinds = {n: k for n, _, _, k in rows}
+    assert kept["quality"] == [n for n, *_, k in rows if k != "junk"]
+    # Of equal texts: the smallest id, nulls last, then the first row.
+    groups = {}
+    for n, i, t, k in rows:
+        if k != "junk":
+            groups.setdefault("".join(t.split()), []).append((i is None, i or 0, n))
+    winners = {min(v)[:2]: k for k, v in groups.items()}
+    assert len(kept["exact"]) == len(groups) and len(winners) > 0
+    by_text = {n: "".join(t.split()) for n, _, t, _ in rows}
+    key = {n: (i is None, i or 0) for n, i, _, _ in rows}
+    assert all(key[n] == min(v)[:2] for n in kept["exact"] for v in [groups[by_text[n]]])
+    assert {by_text[n] for n in kept["near"]} | {by_text[n] for n in kept["exact"] if kinds[n] == "near" or n in range(10, 16)} == {by_text[n] for n in kept["exact"]}
+    assert len(kept["near"]) == len(kept["exact"]) - 6
+    assert kept["leaks"] == [n for n in kept["near"] if kinds[n] != "leak"]
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert packed.where("piece = 0").count() == docs.count()
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path, empty):
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

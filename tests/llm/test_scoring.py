@@ -57,8 +57,8 @@ def base_truth(rows, train):
 
 def test_base_score_equals_brute_force(docs, rows, clash):
     train = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 != 0
-    for source in (docs, clash):
-        got = ppm.score_texts(source, source.where("crc32(cast(doc_id as string)) % 10 <> 0")).collect()
+    for source, nodes in ((docs, ppm.NODES), (clash, 20)):
+        got = ppm.score_texts(source, source.where("crc32(cast(doc_id as string)) % 10 <> 0"), nodes=nodes).collect()
         assert sorted([(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got], key=str) == base_truth(rows, train)
         assert all(r.score < 0 for r in got)
 
@@ -71,16 +71,57 @@ def test_ppm_of_nothing(docs, empty):
     assert abs(got.score + len(text.encode()) * math.log10(256)) < 1e-6
 
 
-def test_ppm_probabilities_sum_to_one(spark, docs):
-    trie = ppm.build_trie(ppm.count_corpus(docs.select("text")))
+class PlainPpm:
+    """Prediction by partial matching (escape D, exclusion) from dictionaries, a byte at a time."""
+
+    def __init__(self, texts, order):
+        self.order, self.seen = order, {}
+        for text in texts:
+            data = b"\n" * order + text
+            for i in range(order, len(data)):
+                for k in range(order + 1):
+                    self.seen.setdefault(data[i - k : i], Counter())[data[i]] += 1
+
+    def p(self, context, byte):
+        share, out = 1.0, set()
+        for k in range(len(context), -1, -1):
+            counts = self.seen.get(context[len(context) - k :])
+            if not counts:
+                continue
+            n = sum(counts.values())
+            level = {b: (2 * c - 1) / (2 * n) for b, c in counts.items()}
+            left = 1 - sum(level.get(b, 0) for b in out)  # exclusion: what longer contexts offered is not to come
+            if byte in level:
+                return share * level[byte] / left
+            share *= (len(counts) / (2 * n)) / left
+            out = set(counts)
+        return share / (256 - len(out))
+
+    def score(self, text):
+        data = b"\n" * self.order + text
+        return sum(math.log10(self.p(data[i - self.order : i], data[i])) for i in range(self.order, len(data)))
+
+
+def test_ppm_equals_a_plain_one_whatever_is_broadcast(spark):
+    rng = random.Random(17)
+    texts = [prose(rng, rng.randrange(5, 60)) for _ in range(30)] + ["", None, "  \n", "zz zz zz", "Éa \t ÉA 😀", "q" * 300]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3])]
+    train = [r for r in rows if r[0] % 4]
+    normal = lambda t: (" ".join(words(t)) + "\n").encode()
+    model = PlainPpm([normal(t) for _, t in train], ppm.ORDER)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for nodes in (0, 40, ppm.NODES):
+        got = sorted((r.doc_id, round(r.score, 6)) for r in ppm.score_texts(docs, docs.where("doc_id % 4 <> 0"), nodes=nodes).collect())
+        assert got == sorted((i, round(model.score(normal(t)), 6)) for i, t in rows)
+
+
+def test_lookup_finds_what_it_holds():
     rng = np.random.default_rng(3)
-    data = np.frombuffer(" ".join(words(docs.where("doc_id = 5").first().text)).encode(), np.uint8)
-    for _ in range(20):
-        at = int(rng.integers(0, len(data) - ppm.ORDER))
-        context = data[at : at + ppm.ORDER]
-        text = np.array([np.append(context, s) for s in range(256)], np.uint8)
-        keys = np.concatenate([ppm.grams(t) for t in text])
-        assert abs((10 ** trie.lookup(keys)).sum() - 1) < 1e-6
+    keys = np.unique(rng.integers(0, 2**56, 5000))
+    table = ppm.Lookup(keys[::2], np.arange(len(keys[::2])) * 0.5)
+    hit, values = table.find(keys)
+    assert hit.tolist() == [i % 2 == 0 for i in range(len(keys))] and values[::2].tolist() == (np.arange(len(keys[::2])) * 0.5).tolist()
+    assert not ppm.Lookup(keys[:0], np.empty(0)).find(keys)[0].any()
 
 
 def test_ppm_prefers_texts_like_those_it_has_learned(spark):
