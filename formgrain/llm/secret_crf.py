@@ -1,15 +1,16 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field that adds to them.
 
-Tokens are runs of letters, digits and ``+/_-.``. Each gets features of its own shape, of the neighbouring words and what stands between
-them, and of the whole file; the field gives every token one of the labels begin, inside, outside. Training is by numpy: stochastic
-gradient steps on the exact log likelihood (forward-backward over windows of ``WINDOW`` tokens).
+Tokens are runs of letters, digits and ``+/_-.``. Each gets features of its own shape and first letters, of the neighbouring words (hashed)
+and what stands between them, of its line and of the whole file; the field gives every token one of the labels begin, inside, outside.
+Training is by numpy: stochastic gradient steps on the exact log likelihood (forward-backward over windows of ``WINDOW`` tokens).
 
 Decoding is exact Viterbi over whole texts without walking them: where a token's outside score leads by more than any two transitions
 can make up for, every best path is outside there, so only the short stretches between such tokens are decoded.
 
 The field is fitted on a bounded sample: at most ``SAMPLE`` texts of at most ``LONGEST`` bytes, in order of a hash of the id, with secrets in
-common formats set into them at random (seeded) and the pattern's own matches as further examples. All else runs over
-all rows and whole texts. Spans of the field that overlap a pattern's span are left out; pattern spans always stay.
+the formats of ``FORMATS``, most of which no pattern has, and look-alikes (``INNOCENT``) set into them at random (seeded), and the patterns' own
+matches as further examples. All else runs over all rows and whole texts. Spans of the field that overlap a pattern's span, or have
+fewer than ``LEAST_CHARS`` characters (as many as the patterns ask for), are left out; pattern spans always stay.
 
 Defined cases: null and empty texts have no span; repeated rows give the same spans; an empty table gives no row (and a
 field that was fitted on nothing finds nothing); ids are only carried along; other columns are not read.
@@ -32,7 +33,8 @@ SAMPLE = 400
 LONGEST = 16_000
 WINDOW = 24
 EPOCHS = 6
-LEAST_CHARS = 12  # a span of the field is a token of at least so many characters
+LEAST_CHARS = 8  # a span of the field has at least so many characters
+BUCKETS = 512  # of a neighbouring word
 
 #: Fixed patterns and the least length that a match needs.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -68,7 +70,10 @@ _HEX[[ord(x) for x in "0123456789abcdef"]] = True
 _STEPS = np.array([1, 2, 3, 5, 9, 16, 20, 24, 32, 40, 64])
 _SHARES = np.array([0.001, 0.1, 0.25, 0.5, 0.75, 0.999])
 #: Features of one token: name and number of values.
-FIELDS = {"length": 12, "classes": 32, "changes": 7, "digits": 7, "hex": 2, "own": 2, "before": 4, "gap": 8, "after": 3, "left": 12, "right": 12, "file": 8, "long_changes": 49}
+FIELDS = {
+    "length": 12, "classes": 32, "changes": 7, "digits": 7, "hex": 2, "own": 2, "before": 4, "gap": 8, "after": 3, "left": 12, "right": 12, "file": 8, "long_changes": 49,
+    "word_before": BUCKETS, "word_two_before": BUCKETS, "word_after": BUCKETS, "letters": BUCKETS, "line": 32,
+}
 _AT = np.cumsum([0, *FIELDS.values()])
 N_FEATURES = int(_AT[-1])
 B, I, O = 0, 1, 2
@@ -122,9 +127,27 @@ class Tokens:
         np.add.at(per[1], self.doc, digits)
         np.add.at(per[2], self.doc, size)
         file = 4 * (per[0] > 0) + np.searchsorted([0.01, 0.05, 0.2], per[1] / np.maximum(per[2], 1), "right")
+        # Neighbouring words by hash, 0 where there is none; the first four letters of a long token with more than letters in it.
+        bucket = 1 + (marks % np.uint64(BUCKETS - 1)).astype(np.int64)
+        before = np.where(start, 0, shift(bucket, 1, 0))
+        two_before = np.where(start | shift(start, 1, True), 0, shift(bucket, 2, 0))
+        behind = np.where(end, 0, shift(bucket, -1, 0))
+        four = np.zeros(n, np.int64)
+        for i in range(4):
+            four = four * 257 + self.bytes[np.minimum(at + i, len(self.bytes) - 1)]
+        letters = np.where((size >= 16) & (has & (_DIGIT | _SYMBOL) > 0), 1 + four % (BUCKETS - 1), 0)
+        # The line: its length, whether it has a sign, how many tokens stand on it, whether this is the first.
+        breaks = np.flatnonzero(self.bytes == 10)
+        line = np.searchsorted(breaks, at)
+        line_end = np.append(breaks, len(self.bytes))[line]
+        line_start = np.append(-1, breaks)[line] + 1
+        leads = np.append(True, line[1:] != line[:-1])
+        alone = np.bincount(line)[line] <= 3
+        of_line = 8 * np.searchsorted([40, 100, 400], line_end - line_start, "right") + 4 * (sign[line_end] > sign[line_start]) + 2 * leads + alone
         fields = [
             length, has, change, np.searchsorted(_SHARES, digits / size, "right"), (total(_HEX[self.bytes]) == size).astype(int), own.astype(int), one + 2 * two, gap, after,
             np.where(start, 0, shift(length, 1, 0)), np.where(end, 0, shift(length, -1, 0)), file[self.doc], np.minimum(length // 2, 6) * 7 + change,
+            before, two_before, behind, letters, of_line,
         ]
         self.features = np.stack([f + base for f, base in zip(fields, _AT)], axis=1).astype(np.int32)
 
@@ -226,68 +249,106 @@ def field_spans(tokens: Tokens, labels: np.ndarray) -> list[tuple[int, int, int]
 # ------------------------------------------------------------------------------------------- training set
 
 
-def _secret(rng: np.random.Generator) -> str:
-    pick = lambda letters, n: "".join(letters[i] for i in rng.integers(0, len(letters), n))
-    lower, digit = "abcdefghijklmnopqrstuvwxyz", "0123456789"
-    mixed = lower + lower.upper() + digit
-    kind = rng.integers(0, 5)
-    if kind == 0:
-        return pick(digit + "abcdef", int(rng.choice([24, 32, 40, 64])))
-    if kind == 1:
-        return pick(mixed + "+/", int(rng.integers(20, 64)))
-    if kind == 2:
-        return f"{pick(lower, 3)}_{pick(mixed, int(rng.integers(20, 40)))}"
-    if kind == 3:
-        return pick(lower.upper() + digit, int(rng.integers(16, 24)))
-    return "-".join(pick(digit + "abcdef", n) for n in (8, 4, 4, 4, 12))
-
-
-def training_windows(texts: list[str], seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows around secrets, set in or found by the patterns, and as many without any."""
+_LETTERS, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+_MIXED = _LETTERS + _LETTERS.upper() + _DIGITS
+
+
+def _pick(rng: np.random.Generator, letters: str, low: int, high: int = 0) -> str:
+    n = int(rng.integers(low, high)) if high else low
+    return "".join(letters[i] for i in rng.integers(0, len(letters), n))
+
+
+#: Formats of secrets that are set into training texts; ``word`` and ``pair`` only after a word that announces them.
+FORMATS = {
+    "hex": lambda r: _pick(r, _DIGITS + "abcdef", int(r.choice([24, 32, 40, 64]))),
+    "base64": lambda r: _pick(r, _MIXED + "+/", 20, 64),
+    "prefixed": lambda r: f"{_pick(r, _LETTERS, 2, 5)}_{_pick(r, _MIXED, 20, 40)}",
+    "live": lambda r: f"{_pick(r, _LETTERS, 2)}_{_pick(r, _LETTERS, 4)}_{_pick(r, _MIXED, 16, 32)}",
+    "upper": lambda r: _pick(r, _LETTERS.upper() + _DIGITS, 16, 24),
+    "uuid": lambda r: "-".join(_pick(r, _DIGITS + "abcdef", n) for n in (8, 4, 4, 4, 12)),
+    "signed": lambda r: ".".join(["eyJ" + _pick(r, _MIXED + "_-", 16, 40), _pick(r, _MIXED + "_-", 20, 80), _pick(r, _MIXED + "_-", 20, 44)]),
+    "dashed": lambda r: "-".join([_pick(r, _LETTERS, 4), _pick(r, _DIGITS, 10, 13), _pick(r, _MIXED, 20, 28)]),
+    "mixed": lambda r: _pick(r, _MIXED, 24, 48),
+    "block": lambda r: "\n".join(_pick(r, _MIXED + "+/", 64) for _ in range(int(r.integers(2, 6)))),
+    "word": lambda r: _pick(r, _LETTERS, 3, 6) + _pick(r, _DIGITS, 2, 4) + _pick(r, _LETTERS.upper() + _DIGITS, 4, 8),
+    "pair": lambda r: _pick(r, _LETTERS.upper(), 1) + _pick(r, _LETTERS, 3, 6) + "_" + _pick(r, _MIXED, 6, 10),
+}
+#: Ordinary things that look a little like secrets.
+INNOCENT = [
+    lambda r: f"{r.integers(1990, 2030)}-{r.integers(10, 13)}-{r.integers(10, 29)}", lambda r: ".".join(str(x) for x in r.integers(1, 255, 4)), lambda r: _pick(r, _DIGITS, 8, 20),
+    lambda r: f"v{r.integers(0, 9)}.{r.integers(0, 40)}.{r.integers(0, 9)}-rc{r.integers(1, 9)}", lambda r: f"{_pick(r, _LETTERS, 4, 9)}_{_pick(r, _LETTERS, 4, 9)}", lambda r: _pick(r, _LETTERS, 4, 8).title() + _pick(r, _LETTERS, 4, 8).title(),
+    lambda r: "/".join(_pick(r, _LETTERS, 3, 9) for _ in range(int(r.integers(2, 5)))) + ".txt", lambda r: f"https://{_pick(r, _LETTERS, 5, 9)}.com/{_pick(r, _LETTERS, 3, 9)}/{r.integers(1, 9999)}", lambda r: f"{_pick(r, _LETTERS, 4, 9)}.{r.integers(1, 99)}@mail{r.integers(1, 9)}.example.com",
+    lambda r: f"+{r.integers(1, 99)} ({_pick(r, _DIGITS, 3)}) {_pick(r, _DIGITS, 3)}-{_pick(r, _DIGITS, 4)}", lambda r: _pick(r, _LETTERS, 16, 40), lambda r: f"{_pick(r, _LETTERS.upper(), 3, 5)}-{r.integers(1, 99999)}", lambda r: "-" * int(r.integers(8, 40)), lambda r: "-".join(_pick(r, _LETTERS, 3, 8) for _ in range(int(r.integers(3, 6)))),
+]
+_SHORT = "word", "pair"
+_FORMS = '{name} = "{secret}"', "{name}: {secret}", "{name}={secret}", "{name} {secret}", "<{name}>{secret}</{name}>", "Authorization: Bearer {secret}", "https://user:{secret}@example.com/", "{secret}", "\n{secret}\n"
+
+
+def training_windows(texts: list[str], seed: int = 5, formats: dict = FORMATS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows around secrets, set in or found by the patterns, around look-alikes, and some without either."""
     rng = np.random.default_rng(seed)
-    rows = []
+    rows, names = [], list(formats)
     for text in texts:
         words = text.split(" ")
         for _ in range(int(rng.integers(0, 4))):
-            secret, name = _secret(rng), str(rng.choice(TRIGGERS))
-            form = rng.integers(0, 4)
-            put = [f'{name} = "{secret}"', f"{name}: {secret}", f"{name} {secret}", secret][form]
-            words.insert(int(rng.integers(0, len(words) + 1)), f"{put}")
-            if rng.random() < 0.5:  # ordinary things that look a little like secrets
-                words.insert(int(rng.integers(0, len(words) + 1)), str(rng.choice(["2024-01-31", "10.250.3.17", str(rng.integers(10**9, 10**15)), "v1.12.0-rc3", "user_name", "CamelCaseWord", "path/to/file.txt", "https://example.com/a1"])))
-            rows.append((" ".join(words), secret))
-        rows.append((" ".join(words), None))
+            kind = names[int(rng.integers(0, len(names)))]
+            secret, name = formats[kind](rng), str(rng.choice(TRIGGERS))
+            form = _FORMS[int(rng.integers(0, len(_FORMS) - 2 * (kind in _SHORT)))]
+            if rng.random() < 0.3:
+                name = name.upper() if rng.random() < 0.5 else f"{_pick(rng, _LETTERS, 2, 6)}_{name}"
+            rows.append((words, form.format(name=name, secret=secret), secret))
+        rows.append((words, INNOCENT[int(rng.integers(0, len(INNOCENT)))](rng), None))
     found = []
-    for text, secret in rows:
-        data = text.encode()
-        tokens = Tokens(np.frombuffer(data, np.uint8), np.array([0, len(data)]), 0, 1)
-        labels = np.full(len(tokens.at), O)
-        spans = [(len(text[:s].encode()), len(text[:e].encode())) for s, k, e in pattern_spans(text) if k != "assign"]
-        spans += [(m.start(2), m.end(2)) for m in re.finditer(ASSIGN.pattern.encode(), data, re.I) if len(m[2]) >= 8]
-        if secret and (at := data.find(secret.encode())) >= 0:
-            spans.append((at, at + len(secret)))
-        for s, e in sorted(set(spans)):
-            i, j = np.searchsorted(tokens.to, s, "right"), np.searchsorted(tokens.at, e)
-            if j > i and tokens.to[i] - tokens.at[i] >= 8:
-                labels[i], labels[i + 1 : j] = B, I
-        # What looks like a secret but isn't known to be one teaches nothing: windows with it are left out.
-        code = tokens.features[:, 1] - _AT[1] if len(labels) else np.empty(0, int)
-        doubtful = np.flatnonzero((labels == O) & (tokens.to - tokens.at >= 20) & (code & _DIGIT > 0) & (code & (_LOWER | _UPPER) > 0))
-        marked = np.flatnonzero(labels == B)
-        starts = [max(0, int(i) - int(rng.integers(2, WINDOW - 4))) for i in marked[:6]]
-        starts += [int(x) for x in rng.integers(0, max(1, len(labels) - WINDOW), 2)]
-        for at in starts:
-            f, y = tokens.features[at : at + WINDOW], labels[at : at + WINDOW]
-            if len(f) and not ((doubtful >= at) & (doubtful < at + WINDOW)).any():
-                pad = WINDOW - len(f)
-                found.append((np.pad(f, ((0, pad), (0, 0)), constant_values=N_FEATURES), np.pad(y, (0, pad), constant_values=O), np.arange(WINDOW) < len(f)))
+    for words, put, secret in rows:
+        at = int(rng.integers(0, len(words) + 1))
+        near = int(rng.integers(0, len(words) + 1))
+        other = INNOCENT[int(rng.integers(0, len(INNOCENT)))](rng)
+        some = [*words[:at], put, *words[at:]]
+        text = " ".join([*some[:near], other, *some[near:]])
+        found += _windows(text, secret, [other] if secret else [other, put], rng)
     if not found:
         return np.empty((0, WINDOW, len(FIELDS)), np.int32), np.empty((0, WINDOW), np.int64), np.empty((0, WINDOW), bool)
     return tuple(np.stack(x) for x in zip(*found))
 
 
-def fit(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    features, labels, mask = training_windows(texts)
+def _windows(text: str, secret: str | None, innocent: list[str], rng: np.random.Generator) -> list[tuple]:
+    data = text.encode()
+    tokens = Tokens(np.frombuffer(data, np.uint8), np.array([0, len(data)]), 0, 1)
+    n = len(tokens.at)
+    labels, known = np.full(n, O), np.zeros(n, bool)
+
+    def inside(s: int, e: int) -> tuple[int, int]:
+        return int(np.searchsorted(tokens.to, s, "right")), int(np.searchsorted(tokens.at, e))
+
+    spans = [(len(text[:s].encode()), len(text[:e].encode())) for s, k, e in pattern_spans(text) if k != "assign"]
+    spans += [(m.start(2), m.end(2)) for m in re.finditer(ASSIGN.pattern.encode(), data, re.I) if len(m[2]) >= 8]
+    if secret and (at := data.find(secret.encode())) >= 0:
+        spans.append((at, at + len(secret)))
+    for s, e in sorted(set(spans)):
+        i, j = inside(s, e)
+        if j > i and e - s >= LEAST_CHARS:
+            labels[i], labels[i + 1 : j] = B, I
+    marked = [np.flatnonzero(labels == B)[:6]]
+    for x in innocent:
+        i, j = inside(at := max(0, data.find(x.encode())), at + len(x.encode()))
+        known[i:j] = True
+        marked.append(np.arange(i, min(j, i + 1)))
+    # What looks like a secret but isn't known to be one teaches nothing: windows with it are left out.
+    code = tokens.features[:, 1] - _AT[1] if n else np.empty(0, int)
+    doubtful = np.flatnonzero((labels == O) & ~known & (tokens.to - tokens.at >= 20) & (code & _DIGIT > 0) & (code & (_LOWER | _UPPER) > 0))
+    starts = [max(0, int(i) - int(rng.integers(2, WINDOW - 6))) for i in np.concatenate(marked)]
+    starts += [int(x) for x in rng.integers(0, max(1, n - WINDOW), 2)]
+    found = []
+    for at in starts:
+        f, y = tokens.features[at : at + WINDOW], labels[at : at + WINDOW]
+        if len(f) and not ((doubtful >= at) & (doubtful < at + WINDOW)).any():
+            pad = WINDOW - len(f)
+            found.append((np.pad(f, ((0, pad), (0, 0)), constant_values=N_FEATURES), np.pad(y, (0, pad), constant_values=O), np.arange(WINDOW) < len(f)))
+    return found
+
+
+def fit(texts: list[str], formats: dict = FORMATS) -> tuple[np.ndarray, np.ndarray]:
+    features, labels, mask = training_windows(texts, formats=formats)
     if not len(features):
         none = np.zeros((N_FEATURES + 1, 3))
         none[:, O] = 1.0
@@ -356,4 +417,27 @@ def op5_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(base, 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), count("crf").alias("n_crf"))
 
 
-ORACLE: dict[str, str] = {}
+def op5_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op5_secret_crf`` that SQL can express."""
+    return op5_secret_crf(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+MORE = {"op5_base": op5_base}
+
+_ANY_CASE = "|".join("".join(f"[{x}{x.upper()}]" if x.isalpha() else x for x in word) for word in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY]"
+_PATTERNS = {"assign": (rf"""({_ANY_CASE})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 8), "access": ("(AKIA[A-Z0-9]+)", 1, 16), "hex": ("([0-9a-f]+)", 1, 32)}
+
+ORACLE = {
+    "op5_base": "WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),\nm AS ("
+    + "\nUNION ALL ".join(
+        f"SELECT doc_id, {i} AS rank, '{kind}' AS kind, {least} AS least, regexp_split_to_array(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}', 0) AS found, regexp_extract_all(text, '{pattern}', {group}) AS own FROM t"
+        for i, (kind, (pattern, group, least)) in enumerate(_PATTERNS.items())
+    )
+    + """),
+s AS (SELECT doc_id, rank, kind, least, own[i] AS own, length(found[i]) AS size, list_sum(list_transform(gaps[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[:i - 1], lambda x: length(x))), 0) AS start
+  FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM m)),
+k AS (SELECT * FROM s WHERE length(own) >= least)
+SELECT t.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  sha256(coalesce(string_agg(kind || ':' || start || ':' || (start + size), ',' ORDER BY start, rank), '')) AS base_sha256
+FROM t LEFT JOIN k ON t.doc_id = k.doc_id GROUP BY t.doc_id""",
+}
