@@ -7,13 +7,16 @@ first, so a passage in any number of documents is one class with a count; bytes
 where a key has several classes or repeats inside one. A class of several members needs no sort to know that all its windows recur.
 
 The classes of a key are then sorted in one task by two-stage suffix sorting: suffixes smaller than their successor are sorted
-directly, all others are induced from them by one scan over the buckets of first bytes, and neighbours in the suffix array with a
-common prefix of ``WIDTH`` bytes are duplicates. Windows have the key of their content, so equal windows always meet. A key with
-more than ``HOT`` classes is not sorted in one task: its windows are counted by their hash in a shuffle instead.
-
-Defined cases: null texts are empty; texts shorter than ``WIDTH`` bytes keep everything; overlapping repeats count, as in a long run of
-one word; rows that repeat a document are duplicates of each other and each come out; null ids are carried along; an empty table
-gives no row; other columns are not read. Equality of windows and fragments is that of 64-bit hashes within equal keys.
+directly, all others are induced from them by one scan over the buckets of first bytes. The common prefixes of neighbours in the
+suffix array are counted in their bytes, and those of ``WIDTH`` bytes mark duplicates. Windows have the key of their content, so equal
+windows always meet. One array holds at most ``KEY_BYTES`` of a key: the classes of a key with more are cut by a further key of the same
+kind (another hash of the pieces), collapsed and sorted in the same way, and again until all fit; after ``LEVELS`` cuts the key is the
+window itself, which leaves nothing to sort.
+
+Defined cases: null texts are empty; texts shorter than ``WIDTH`` bytes keep everything; very long texts are read in overlapping
+parts; overlapping repeats count, as in a long run of one word; rows that repeat a document are duplicates of each other and each come
+out; null ids are carried along; an empty table gives no row; other columns are not read. Rows are told apart by 128 bits of id and text,
+fragments by their length and two 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -29,9 +32,10 @@ from formgrain.llm.common import blocks, materialise, mix, prefix_hash, prepare,
 
 WIDTH = 200
 GRAM = 32
-HOT = 200_000
-#: Bytes that one suffix array takes at most, unless a single key has more.
-ARRAY_BYTES = 3 << 19
+#: Bytes that one suffix array takes before it is closed, and bytes of one key that it may hold: about 140 bytes of arrays go with each.
+ARRAY_BYTES, KEY_BYTES = 3 << 19, 3 << 20
+#: Cuts by pieces that a key's classes may go through.
+LEVELS = 12
 #: Text bytes in which fragments are found at once: about a hundred bytes of arrays go with each.
 FIND_BYTES = 1 << 19
 _PLACE = 28  # bits of a position in a block
@@ -49,14 +53,19 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def find_fragments(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int = WIDTH, gram: int = GRAM):
-    """Runs of windows with one key: (document, first byte, windows, key, hash of all its bytes, whether the key repeats in it)."""
+def find_fragments(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int = WIDTH, gram: int = GRAM, level: int = 0):
+    """Runs of windows with one key: (document, first byte, windows, key, hash of all its bytes, whether the key repeats in it).
+
+    Each ``level`` has another hash of the pieces; with pieces as long as a window the key is that of the whole window.
+    """
     none = np.empty(0, np.int64)
     if len(text) < width + 1:
         return none, none, none, none, none, none.astype(bool)
     sums = prefix_hash(text)
     at = np.arange(len(text) - gram + 1)
     h = range_hash(sums, at, at + gram)
+    if level:
+        h = mix(h ^ np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
     high = h >> np.uint64(_PLACE) << np.uint64(_PLACE)
     mask = np.uint64((1 << _PLACE) - 1)
     span = width - gram + 1
@@ -145,6 +154,20 @@ def suffix_array(text: np.ndarray, same: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def common_prefix(raw: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Bytes that agree from places ``a`` and ``b`` on, up to ``most``; eight at a time, and only for pairs that agree so far."""
+    wide = np.lib.stride_tricks.as_strided(np.append(raw, np.zeros(most + 8, np.uint8)), (len(raw) + most, 8), (1, 1)).view("<u8")[:, 0]
+    out, todo = np.zeros(len(a), np.int64), np.arange(len(a))
+    for at in range(0, most, 8):
+        apart = wide[a[todo] + at] ^ wide[b[todo] + at]
+        end = np.flatnonzero(apart)
+        low = apart[end] & (~apart[end] + np.uint64(1))  # the lowest bit that differs tells the first byte that does
+        out[todo[end]] = at + (np.log2(low.astype(np.float64)).astype(np.int64) >> 3)
+        todo = todo[apart == 0]
+    out[todo] = most
+    return np.minimum(out, most)
+
+
 def repeated_windows(fragments: list[bytes], runs: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
     """For each fragment, which of its windows also start elsewhere among the fragments."""
     sizes = np.array([len(x) for x in fragments])
@@ -161,10 +184,11 @@ def repeated_windows(fragments: list[bytes], runs: np.ndarray, width: int = WIDT
     valid = here - np.repeat(at, sizes + 1) < np.repeat(runs, sizes + 1)
     array = suffix_array(text, same)
     a, b = array[:-1], array[1:]
-    common = valid[a] & valid[b] & (same[a] == same[b])  # a common prefix of ``width`` bytes
+    both = np.flatnonzero(valid[a] & valid[b])
+    long_ = both[common_prefix(raw, a[both], b[both], width) >= width]
     marked = np.zeros(len(raw), bool)
-    marked[a[common]] = True
-    marked[b[common]] = True
+    marked[a[long_]] = True
+    marked[b[long_]] = True
     return [marked[s : s + r] for s, r in zip(at, runs)]
 
 
@@ -201,22 +225,34 @@ def _sorted_marks(batches):
         yield done()
 
 
-def _window_rows(batches):
-    """Rows (key, print, run, copies, bytes) -> (window hash, key, print, run, place, copies)."""
-    for batch in batches:
-        for key, mark, run, copies, data in zip(*(c.to_pylist() for c in batch.columns)):
-            raw = np.frombuffer(data, np.uint8)
-            at = np.arange(run)
-            w = signed(range_hash(prefix_hash(raw), at, at + WIDTH))
-            full = lambda x, t: pa.array(np.full(run, x), t)
-            yield pa.RecordBatch.from_arrays([pa.array(w), full(key, pa.int64()), full(mark, pa.int64()), full(run, pa.int32()), pa.array(at.astype(np.int32)), full(copies, pa.int64())], ["w", "key", "print", "run", "place", "copies"])
+def solve(data: DataFrame, level: int = 1, most: int = KEY_BYTES, levels: int = LEVELS) -> DataFrame:
+    """Classes (key, print, run, copies, bytes) -> the recurring windows of each that has some, whatever the bytes of a key."""
+    sizes = data.groupBy("key").agg(F.sum(F.octet_length("bytes")).alias("size")).where(F.col("size") > most).select("key")
+    large = materialise(sizes, "large")
+    if level > levels + 1 or large.isEmpty():
+        return data.repartition("key").sortWithinPartitions("key", "print", "run").mapInArrow(_sorted_marks, _MARKS)
+    fits = data.join(large, "key", "left_anti")
+    marks = fits.repartition("key").sortWithinPartitions("key", "print", "run").mapInArrow(_sorted_marks, _MARKS)
 
-
-def _hot_marks(rows: DataFrame) -> DataFrame:
-    windows = materialise(rows.mapInArrow(_window_rows, "w long, key long, print long, run int, place int, copies long"), "windows")
-    again = windows.groupBy("key", "w").agg(F.sum("copies").alias("n")).where("n > 1").select("key", "w")
-    found = windows.join(again, ["key", "w"]).groupBy("key", "print", "run").agg(F.sort_array(F.collect_list("place")).alias("starts"))
-    return found.withColumn("ends", F.transform("starts", lambda x: x + 1))
+    def cut(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key, mark, run, copies, data = (batch.column(j)[i].as_py() for j in range(5))
+                for a in range(0, run, FIND_BYTES):
+                    raw = np.frombuffer(data, np.uint8)[a : a + FIND_BYTES + WIDTH - 1]
+                    text = np.append(raw, np.uint8(10))
+                    _, at, runs, keys, prints, _ = find_fragments(text, np.array([0]), np.array([len(raw)]), gram=GRAM if level <= levels else WIDTH, level=level)
+                    keys = signed(mix(keys.view(np.uint64) + np.uint64(key & (1 << 64) - 1)))
+                    full = lambda x, t, n=len(at): pa.array(np.full(n, x), t)
+                    pieces = [raw[x : x + r + WIDTH - 1].tobytes() for x, r in zip(at.tolist(), runs.tolist())]
+                    yield pa.RecordBatch.from_arrays([full(key, pa.int64()), full(mark, pa.int64()), full(run, pa.int32()), full(copies, pa.int64()), pa.array(a + at, pa.int32()), pa.array(keys), pa.array(prints), pa.array(runs, pa.int32()), pa.array(pieces, pa.binary())], ["key", "print", "run", "copies", "at", "key2", "print2", "run2", "bytes"])
+
+    parts = materialise(data.join(large, "key", "left_semi").select("key", "print", "run", "copies", "bytes").mapInArrow(cut, "key long, print long, run int, copies long, at int, key2 long, print2 long, run2 int, bytes binary"), "cut")
+    classes = parts.groupBy(F.col("key2").alias("key"), F.col("print2").alias("print"), F.col("run2").alias("run")).agg(F.sum("copies").alias("copies"), F.first("bytes").alias("bytes"))
+    inner = solve(materialise(classes, "classes"), level + 1, most, levels).where(F.size("starts") > 0).select(F.col("key").alias("key2"), F.col("print").alias("print2"), F.col("run").alias("run2"), "starts", "ends")
+    moved = parts.drop("bytes").join(inner, ["key2", "print2", "run2"]).select("key", "print", "run", *[F.transform(c, lambda x: x + F.col("at")).alias(c) for c in ("starts", "ends")])
+    joined = moved.groupBy("key", "print", "run").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends")])  # at most a window's place each
+    return marks.unionByName(joined)
 
 
 def recurring(docs: DataFrame) -> DataFrame:
@@ -227,14 +263,18 @@ def recurring(docs: DataFrame) -> DataFrame:
             raw, offsets = utf8(batch.column(1))
             for a, b in blocks(offsets, FIND_BYTES):
                 text, starts, ends = spaced(raw, offsets, a, b)
-                doc, at, run, key, mark, twice = find_fragments(text, starts, ends)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + a)), pa.array(at, pa.int32()), pa.array(run, pa.int32()), pa.array(key), pa.array(mark), pa.array(twice)], ["uid", "at", "run", "key", "print", "twice"])
-
-    spots = materialise(docs.mapInArrow(fragments, "uid long, at int, run int, key long, print long, twice boolean"), "fragments")
-    keys = spots.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("t")).where("n > 1 or t").select("key")
+                step = len(text) if b > a + 1 else FIND_BYTES  # a long text in parts, which overlap by all but one byte of a window
+                for s in range(0, max(1, len(text) - WIDTH), step):
+                    part = text[s : s + step + WIDTH - 1]
+                    doc, at, run, key, mark, twice = find_fragments(part, starts, ends) if step == len(text) else find_fragments(np.append(part, np.uint8(10)), np.array([0]), np.array([min(len(part), int(ends[0]) - s)]))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + a)), pa.array(at + s, pa.int32()), pa.array(run, pa.int32()), pa.array(key), pa.array(mark), pa.array(twice)], ["uid", "at", "run", "key", "print", "twice"])
+
+    spots = materialise(docs.mapInArrow(fragments, "uid binary, at int, run int, key long, print long, twice boolean"), "fragments")
+    # Written, so that the joins with them can be split where a key is hot.
+    keys = materialise(spots.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("t")).where("n > 1 or t").select("key"), "keys")
     spots = materialise(spots.join(keys, "key"), "candidates")
     classes = materialise(spots.groupBy("key", "print", "run").agg(F.count(F.lit(1)).alias("copies"), F.max("twice").alias("twice"), F.min(F.struct("uid", "at")).alias("member")), "classes")
-    groups = classes.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.max("twice").alias("t")).where("classes > 1 or t").select("key", "classes")
+    groups = materialise(classes.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.max("twice").alias("t")).where("classes > 1 or t").select("key"), "groups")
     sole = classes.join(groups, "key", "left_anti").where("copies > 1").select("key", "print", "run", F.array(F.lit(0)).alias("starts"), F.array("run").alias("ends"))
 
     def fetch(batches):
@@ -244,19 +284,14 @@ def recurring(docs: DataFrame) -> DataFrame:
             for i, wanted in enumerate(batch.column(1).to_pylist()):
                 for x in wanted:
                     at = offsets[i] + x["at"]
-                    rows.append((x["key"], x["print"], x["run"], x["copies"], x["classes"], raw[at : at + x["run"] + WIDTH - 1].tobytes()))
+                    rows.append((x["key"], x["print"], x["run"], x["copies"], raw[at : at + x["run"] + WIDTH - 1].tobytes()))
             for k in range(0, len(rows), 4000):
-                types = pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 4000]), types)], ["key", "print", "run", "copies", "classes", "bytes"])
-
-    wanted = classes.join(groups, "key").select(F.col("member.uid").alias("uid"), F.struct(F.col("member.at").alias("at"), "key", "print", "run", "copies", "classes").alias("x")).groupBy("uid").agg(F.collect_list("x").alias("wanted"))
-    data = materialise(docs.join(wanted, "uid").select("text", "wanted").mapInArrow(fetch, "key long, print long, run int, copies long, classes long, bytes binary"), "bytes")
-    plain = data.where(F.col("classes") <= HOT).select("key", "print", "run", "copies", "bytes")
-    marks = plain.repartition("key").sortWithinPartitions("key", "print", "run").mapInArrow(_sorted_marks, _MARKS)
-    hot = data.where(F.col("classes") > HOT)
-    if not hot.isEmpty():
-        marks = marks.unionByName(_hot_marks(hot.select("key", "print", "run", "copies", "bytes")))
-    marks = materialise(marks.where(F.size("starts") > 0).unionByName(sole).dropDuplicates(["key", "print", "run"]), "marks")
+                types = pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 4000]), types)], ["key", "print", "run", "copies", "bytes"])
+
+    wanted = classes.join(groups, "key").select(F.col("member.uid").alias("uid"), F.struct(F.col("member.at").alias("at"), "key", "print", "run", "copies").alias("x")).groupBy("uid").agg(F.collect_list("x").alias("wanted"))
+    data = materialise(docs.join(wanted, "uid").select("text", "wanted").mapInArrow(fetch, "key long, print long, run int, copies long, bytes binary"), "bytes")
+    marks = materialise(solve(data).where(F.size("starts") > 0).unionByName(sole).dropDuplicates(["key", "print", "run"]), "marks")
     found = spots.join(marks, ["key", "print", "run"])
     return found.groupBy("uid").agg(F.collect_list(F.struct("at", "starts", "ends")).alias("spans"))
 
@@ -278,7 +313,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (ranges), kept (the remaining bytes)."""
     spark = docs.sparkSession
     prepare(spark)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("uid", F.xxhash64("doc_id", "text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("uid", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\0"), "text"))))
     spans = recurring(rows.select("uid", "text"))
     kind = docs.schema[id_col].dataType.simpleString()
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])

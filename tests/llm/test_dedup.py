@@ -7,7 +7,8 @@ from formgrain.llm.chain_dedup import Fenwick, chain, passages
 from formgrain.llm.exact_dedup import exact_dedup, misra_gries
 from formgrain.llm.graph import components
 from formgrain.llm.minhash_dedup import block_links, near_dedup
-from formgrain.llm.suffix_dedup import WIDTH, _hot_marks, repeated_windows, substring_dedup, suffix_array
+from formgrain.llm import suffix_dedup
+from formgrain.llm.suffix_dedup import LEVELS, WIDTH, common_prefix, repeated_windows, solve, substring_dedup, suffix_array
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -156,15 +157,49 @@ def test_suffix_array_is_sorted():
         assert keys == sorted(keys)
 
 
-def test_repeated_windows_and_the_way_of_hot_keys_agree(spark):
+def test_common_prefixes():
+    rng = np.random.default_rng(8)
+    raw = rng.integers(97, 99, 900).astype(np.uint8)
+    raw[400:700] = raw[100:400]
+    a, b = rng.integers(0, 600, 300), rng.integers(0, 600, 300)
+    a[:3], b[:3] = (100, 101, 7), (400, 401, 7)
+    data = raw.tobytes()
+    plain = lambda x, y: next((k for k in range(WIDTH) if data[x + k : x + k + 1] != data[y + k : y + k + 1]), WIDTH)
+    assert common_prefix(raw, a, b, WIDTH).tolist() == [plain(x, y) for x, y in zip(a.tolist(), b.tolist())]
+
+
+def test_keys_of_any_size_give_the_same_windows(spark):
     rng = np.random.default_rng(4)
-    shared = bytes(rng.integers(97, 123, 260).astype(np.uint8))
-    pieces = [bytes(rng.integers(97, 123, 90).astype(np.uint8)) + shared + bytes(rng.integers(97, 123, 40 + i).astype(np.uint8)) for i in range(4)] + [b"ab" * 150]
+    some = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8))
+    shared, middle = some(260), some(150)
+    pieces = [some(90) + shared + some(40 + i) for i in range(4)] + [some(80) + middle + some(80) for _ in range(12)] + [b"ab" * 150]
+    pieces.append(some(60) + pieces[6])
     runs = np.array([len(x) - WIDTH + 1 for x in pieces])
     marks = repeated_windows(pieces, runs)
     rows = [(1, i, int(r), 1, bytearray(p)) for i, (p, r) in enumerate(zip(pieces, runs))]
-    hot = _hot_marks(spark.createDataFrame(rows, "key long, print long, run int, copies long, bytes binary"))
-    assert {r.print: r.starts for r in hot.collect()} == {i: np.flatnonzero(m).tolist() for i, m in enumerate(marks) if m.any()}
+    data = spark.createDataFrame(rows, "key long, print long, run int, copies long, bytes binary")
+    want = {i: m.tolist() for i, m in enumerate(marks) if m.any()}
+    for levels, most in ((LEVELS, 1 << 20), (LEVELS, 900), (1, 400), (0, 1)):
+        got = {}
+        for r in solve(data, most=most, levels=levels).collect():
+            for a, b in zip(r.starts, r.ends):
+                got.setdefault(r.print, np.zeros(runs[r.print], bool))[a:b] = True
+        assert {i: m.tolist() for i, m in got.items()} == want
+
+
+def test_very_long_texts_are_read_in_parts(spark, monkeypatch):
+    import random
+
+    from tests.llm.conftest import prose
+
+    rng = random.Random(6)
+    monkeypatch.setattr(suffix_dedup, "FIND_BYTES", 1000)
+    shared = prose(rng, 80)
+    texts = [prose(rng, 700), f"{prose(rng, 300)} {shared} {prose(rng, 200)} {shared}", f"{shared} {prose(rng, 130)}", prose(rng, 20)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == substring_truth(rows)
+    assert sum(r.n_spans for r in got) >= 3
 
 
 def test_chain_is_the_best_in_order():
