@@ -30,6 +30,8 @@ ROWS = 3
 BANDS = 24
 #: Members of a hub in one block, where blocks are compared.
 BLOCK_MEMBERS = 256
+#: Text bytes whose sets a task keeps for further pairs.
+CACHE_BYTES = 16 << 20
 
 _SHIFTS = np.arange(1, ROWS * BANDS + 1, dtype=np.uint32)[:, None]
 
@@ -93,7 +95,7 @@ def compare(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: in
 
     def sets(column, cache: dict) -> list[np.ndarray]:
         texts = column.to_pylist()
-        if len(cache) > 500:
+        if sum(map(len, cache)) > CACHE_BYTES:
             cache.clear()
         fresh = [x for x in dict.fromkeys(texts) if x not in cache]
         raw, offsets = utf8(pa.array(fresh, pa.large_string()))
@@ -173,19 +175,22 @@ def across(tested: DataFrame, roots: DataFrame, per_cent: int, block: int = BLOC
     for two blocks, never one for two members.
     """
     kind = tested.schema["id"].dataType.simpleString()
-    named = tested.join(roots.toDF("id", "r"), "id", "left").withColumn("r", F.coalesce("r", "id"))
-    named = named.join(roots.toDF("hub", "hub_r"), "hub", "left").withColumn("open", F.col("r") != F.coalesce("hub_r", "hub"))
-    items = F.sum(F.size("lacks") + F.size("adds"))
-    parts = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(items / (400 * block)))
-    counts = named.groupBy("hub", "open").agg(parts.alias("parts"))
-    some = counts.where("open").select("hub")
-    sized = named.join(counts.join(some, "hub", "left_semi"), ["hub", "open"])
-    at = F.pmod(F.xxhash64("id"), F.greatest("parts", F.lit(1))).cast("int")
-    blocks_ = sized.groupBy("hub", "hub_n", "open", at.alias("at")).agg(F.collect_list(F.struct("id", "r", "n", "lacks", "adds")).alias("rows"))  # about ``block`` rows, or 400 * ``block`` differences
+    items = (F.size("lacks") + F.size("adds")).alias("items")
+    named = tested.select("id", "hub", items).join(roots.toDF("id", "r"), "id", "left").join(roots.toDF("hub", "hub_r"), "hub", "left")
+    root, hub_root = F.coalesce("r", "id"), F.coalesce("hub_r", "hub")
+    named = materialise(named.select("id", "hub", root.alias("r"), (root != hub_root).alias("open"), "items"), "named")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("items") / (400 * block))).cast("int")
+    counts = materialise(named.groupBy("hub", "open").agg(parts.alias("parts")), "counts")
+    opened = counts.where("open").select("hub", F.col("parts").alias("lefts"))
+    sized = named.join(counts.join(opened, "hub"), ["hub", "open"]).withColumn("at", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    placed = sized.select("id", "hub", "r", "open", "at", "lefts").join(tested.select("id", "hub", "n", "hub_n", "lacks", "adds"), ["id", "hub"])
+    blocks_ = placed.groupBy("hub", "hub_n", "open", "at", "lefts").agg(F.collect_list(F.struct("id", "r", "n", "lacks", "adds")).alias("rows"))  # about ``block`` rows, or 400 * ``block`` differences
     blocks_ = materialise(blocks_, "blocks")
+    # A block of open members meets those after it and all of the hub's component: dealt by hub and block, so no hub is in one task.
     left = blocks_.where("open").select("hub", "hub_n", F.col("at").alias("i"), F.col("rows").alias("left"))
-    right = blocks_.select("hub", "open", F.col("at").alias("j"), F.col("rows").alias("right"))
-    met = left.join(right, "hub").where("not open or j >= i").select("hub_n", "left", "right")
+    last = F.when(F.col("open"), F.col("at")).otherwise(F.col("lefts") - 1)
+    right = blocks_.select("hub", F.explode(F.sequence(F.lit(0), last)).alias("i"), F.col("rows").alias("right"))
+    met = left.join(right, ["hub", "i"]).select("hub_n", "left", "right")
 
     def run(batches):
         for batch in batches:
@@ -199,7 +204,7 @@ def across(tested: DataFrame, roots: DataFrame, per_cent: int, block: int = BLOC
     return met.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, per_cent: int = 80) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, per_cent: int = 80, block: int = BLOCK_MEMBERS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
     prepare(spark)
@@ -217,7 +222,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = tested.where("links").select(F.col("id").alias("a"), F.col("hub").alias("b"))
     roots = components(links.unionByName(same.select(F.col("doc_id").alias("a"), F.col("a").alias("b"))))
     # Members of one hub that are still apart.
-    found = materialise(across(tested, roots, per_cent), "across")
+    found = materialise(across(tested, roots, per_cent, block), "across")
     if not found.isEmpty():
         roots = components(roots.toDF("a", "b").unionByName(found))
     out = base.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component_id", F.coalesce("root", "doc_id"))

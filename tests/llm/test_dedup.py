@@ -65,8 +65,9 @@ def test_near_dedup_of_a_group_whose_hub_is_no_middle(spark):
     base = prose(rng, 150)
     texts = [edited(rng, base, 8)] + [edited(rng, base, rng.randrange(1, 9)) for _ in range(120)] + [base]
     rows = [(i, t) for i, t in enumerate(texts)]
-    got = {r.doc_id: r.component_id for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), k=3, per_cent=85).collect()}
-    assert got == {i: r for i, (_, r) in near_truth(rows, 3, 85).items()}
+    for block in (256, 10):  # one block of members, and many
+        got = {r.doc_id: r.component_id for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), k=3, per_cent=85, block=block).collect()}
+        assert got == {i: r for i, (_, r) in near_truth(rows, 3, 85).items()}
     assert len(set(got.values())) > 1
 
 
