@@ -12,7 +12,8 @@ the chain from the file's start are kept: a magic inside a payload is on no such
 payloads are digested in the task that reads them; only a payload that holds a magic itself is put together by a second pass.
 
 Defined cases: a null payload is empty; equal empty payloads are revisits like others unless ``least`` is larger; rows that
-repeat the smallest id of a payload are all responses; a null id is written as an empty id and comes back as null; an
+repeat the smallest id of a payload are all responses; a null id is written as an empty id, comes back as null and is never the
+smallest while there is another; an
 empty table gives no row; a record whose length runs past the end of its file ends the chain of that file.
 """
 
@@ -25,7 +26,7 @@ import re
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from formgrain.llm.common import materialise, prepare, shared_path, table
@@ -172,7 +173,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     parts = materialise(split_pieces(spark, path), "pieces")
     # What a split holds tells where the next one's first magic is.
     totals = parts.groupBy("file", "block").agg(F.sum(F.col("size") + len(MAGIC)).alias("total"))
-    before = totals.alias("a").join(totals.alias("b"), F.expr("a.file = b.file and b.block < a.block"), "left").groupBy("a.file", "a.block").agg(F.coalesce(F.sum("b.total"), F.lit(0)).alias("base"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("file", "block", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))  # a row for each split of a file
     placed = parts.join(before, ["file", "block"]).withColumn("at", F.col("base") + F.col("at") - len(MAGIC))
     heads = placed.where("body >= 0").select("file", "block", "at", (F.col("at") + len(MAGIC) + F.col("body") + F.col("payload_bytes") + 4).alias("to"))
     kept = materialise(reachable(materialise(heads, "heads")), "kept")

@@ -43,6 +43,14 @@ def test_warc_round_trip(spark, split):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_of_repeated_and_null_ids(spark):
+    rows = [(4, "u", "same"), (4, "u", "same"), (None, "u", "same"), (9, "u", "same"), (None, "u", "alone"), (None, "u", "alone"), (7, "u", "other"), (7, "u", "mine"), (8, "u", "mine")]
+    got = sorted(((r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()), key=str)
+    first = {"same": 4, "alone": None, "other": 7, "mine": 7}
+    want = [(i, digest(t), "response" if i == first[t] else "revisit", None if i == first[t] else first[t]) for i, _, t in rows]
+    assert got == sorted(want, key=str)
+
+
 def test_reachable_rejects_what_no_chain_reaches(spark):
     true = [(0, 30), (30, 75), (75, 140), (140, 200)]
     false = [(40, 75), (50, 90), (90, 140), (150, 170), (170, 999)]
