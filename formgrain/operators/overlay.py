@@ -73,6 +73,11 @@ def best_zone(patch: tuple[Column, ...], zones: list[tuple[str, tuple[float, ...
     return F.array_min(scored)["zone"]
 
 
+def patch_zone(patch: Column, without: str = "front_left") -> Column:
+    """Zone of a patch (array x0, y0, x1, y1), and of a picture that has none."""
+    return F.when(patch.isNull(), without).otherwise(best_zone(tuple(patch[i] for i in range(4))))
+
+
 def other_damage(yes: Column, no: Column) -> Column:
     """True when the yes cells hold more ink on average than the no cells."""
     mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.size(xs)
