@@ -16,6 +16,9 @@ OUTCOMES = ("correct", "value not in the OCR text", "in the OCR text, no value r
 FINAL = ("no value returned", "1 edit", "2 edits", "3 or more edits")
 NEAR = ("exact in the text", "in the text, punctuation differs", "1 edit away", "2 edits away", "3 or more edits away")
 
+#: Bytes of items that are sent to every task.
+SENT_BYTES = 8 << 20
+
 
 def outcome(expected: Column, got: Column, text: Column) -> Column:
     """Of a text cell: right; else not in the text; else not returned; else wrong."""
@@ -97,13 +100,17 @@ def per_field(rows: DataFrame) -> DataFrame:
 def contained(texts: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, text) and (item_id, item) -> pairs where the text holds the item.
 
-    An item of three words or more is met on its longest inner word, an equi-join that Spark can split; only shorter
-    ones are compared with every text.
+    An item of three words or more is met on its longest inner word. Items of up to ``SENT_BYTES`` in all are sent to the tasks, so that only
+    pairs that share the word leave the scan; more of them meet the words in an equi-join that Spark can split. Shorter items are
+    compared with every text.
     """
     words = F.split(F.col("item"), r"\s+")
     inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(1)))
     longest = F.array_min(F.transform(inner, lambda w, i: F.struct((-F.length(w)).alias("n"), i.alias("i"), w.alias("w"))))["w"]
     keyed = items.withColumns({"n_words": F.size(words), "word": longest})
+    size = items.agg(F.sum(F.octet_length("item"))).first()[0] or 0
+    if size <= SENT_BYTES:
+        keyed = F.broadcast(keyed)
     tokens = texts.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
     met = tokens.join(keyed.where("n_words >= 3").select("item_id", "word"), "word").select("doc_id", "item_id").distinct()
     pairs = met.join(texts, "doc_id").join(items, "item_id").where(F.col("text").contains(F.col("item"))).select("doc_id", "item_id")

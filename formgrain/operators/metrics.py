@@ -105,46 +105,105 @@ def cost_and_time(forms: DataFrame, input_price: float, output_price: float) ->
     )
 
 
+def _contributions(cells: DataFrame) -> DataFrame:
+    """What cells and forms add to the metrics, as (metric, key, sums): one aggregate over the cells, by two grouping sets.
+
+    One set is by field and, for closed fields, expected answer; the other by form, which tells the forms with a critical error.
+    """
+    none = F.array().cast("array<int>")
+    want, got = F.coalesce("expected_ticks", none), F.coalesce("predicted_ticks", none)
+    rows = cells.withColumns({"answer": F.when(F.col("kind") == S.CATEGORY, F.col("expected_text")), "bad": (F.col("kind") == S.CRITICAL) & ~F.col("correct")})
+    ticks = lambda x: F.sum(F.when(F.col("kind") == S.TICKS, F.size(x)))
+    groups = rows.groupingSets([["name", "kind", "answer"], ["form_id"]], "name", "kind", "answer", "form_id").agg(
+        F.grouping("form_id").alias("by_field"),
+        F.count(F.lit(1)).alias("n"),
+        F.count_if("correct").alias("ok"),
+        F.sum("edit_distance").alias("edits"),
+        F.sum("reference_length").alias("characters"),
+        ticks(F.array_intersect(want, got)).alias("found"),
+        ticks(F.array_except(want, got)).alias("missed"),
+        ticks(F.array_except(got, want)).alias("extra"),
+        F.max("bad").alias("bad"),
+        F.min(F.struct("form_id", "position")).alias("first"),
+    )
+    kind = F.col("kind")
+    to = lambda name, key: F.struct(F.lit(name).alias("metric"), key.alias("key"))
+    empty = F.lit("")
+    text = F.array(to("field_accuracy", F.concat(F.lit("group:"), group_of())), to("field_accuracy", F.concat(F.lit("field:"), F.col("name"))), to("character_error_rate", F.lit("overall")), to("character_error_rate", group_of()))
+    goes_to = F.when(F.col("by_field") == 0, F.array(to("forms_without_critical_error", empty))).when(kind.isin(*S.TEXT_KINDS), text)
+    goes_to = goes_to.when(kind == S.CATEGORY, F.array(to("category_accuracy", F.col("name")))).otherwise(F.array(to("checkbox_score", empty)))
+    parts = groups.select(F.explode(goes_to).alias("to"), "*")
+    count = kind == S.TICK_COUNT
+    return parts.groupBy("to.metric", "to.key").agg(
+        F.sum("n").alias("n"),
+        F.sum("ok").alias("ok"),
+        F.sum("edits").alias("edits"),
+        F.sum("characters").alias("characters"),
+        *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("found", "missed", "extra")],
+        F.coalesce(F.sum(F.when(count, F.col("ok"))), F.lit(0)).alias("count_ok"),
+        F.coalesce(F.sum(F.when(count, F.col("n"))), F.lit(0)).alias("count_n"),
+        F.count(F.lit(1)).alias("groups"),
+        F.count_if("bad").alias("bad"),
+        F.min(F.when(kind == S.CATEGORY, F.struct((-F.col("n")).alias("n"), "first", "answer"))).alias("top"),
+    )
+
+
+#: Measures that are counts; the others are ratios, dollars or seconds.
+COUNTS = frozenset(["forms", "forms_with_output", "correct", "total", "without_critical_error", "edits", "characters", "ticks_found", "ticks_missed", "ticks_extra", "tick_count_correct", "tick_count_total", "forms_measured", "input_tokens", "output_tokens"])
+
+
+def measures(cells: DataFrame, forms: DataFrame, input_price: float, output_price: float) -> DataFrame:
+    """All metrics as rows (metric, key, measure, value, text): one pass over the cells and one over the forms."""
+    c = F.col
+    of = {
+        "field_accuracy": {"correct": c("ok"), "total": c("n"), "accuracy": safe_ratio(c("ok"), c("n"))},
+        "forms_without_critical_error": {"forms": c("groups"), "without_critical_error": c("groups") - c("bad"), "share": safe_ratio(c("groups") - c("bad"), c("groups"))},
+        "character_error_rate": {"edits": c("edits"), "characters": c("characters"), "rate": safe_ratio(c("edits"), c("characters"))},
+        "checkbox_score": {"ticks_found": c("found"), "ticks_missed": c("missed"), "ticks_extra": c("extra"), "tick_count_correct": c("count_ok"), "tick_count_total": c("count_n"), "precision": safe_ratio(c("found"), c("found") + c("extra")), "recall": safe_ratio(c("found"), c("found") + c("missed"))},
+        "category_accuracy": {"correct": c("ok"), "total": c("n"), "accuracy": safe_ratio(c("ok"), c("n")), "guess_most_common_accuracy": safe_ratio(-c("top.n"), c("n"))},
+    }
+    answer = c("top.answer")
+    pair = lambda name, value, text=None: F.struct(F.lit(name).alias("measure"), value.cast("double").alias("value"), (F.lit(None).cast("string") if text is None else text).alias("text"))
+    rows = None
+    for name, some in of.items():
+        listed = F.array(*[pair(m, v, answer if name == "category_accuracy" else None) for m, v in some.items()])
+        rows = F.when(c("metric") == name, listed) if rows is None else rows.when(c("metric") == name, listed)
+    scored = _contributions(cells).select("metric", "key", F.explode(rows).alias("m")).select("metric", "key", "m.*")
+
+    used = c("input_tokens").isNotNull()
+    dollars = (F.when(used, c("input_tokens")) * input_price + c("output_tokens") * output_price) / 1e6
+    totals = forms.withColumns({"_used": used, "_dollars": dollars, "_seconds": F.when(used, c("seconds"))}).agg(
+        F.count(F.lit(1)).alias("forms"), F.count_if("produced_output").alias("forms_with_output"), F.count_if("_used").alias("forms_measured"),
+        F.sum("input_tokens").alias("input_tokens"), F.sum(F.when(c("_used"), c("output_tokens"))).alias("output_tokens"), F.sum("_dollars").alias("dollars_total"), F.avg("_dollars").alias("dollars_per_form"),
+        F.avg("_seconds").alias("seconds_mean"), F.expr("percentile_disc(0.95) within group (order by _seconds)").alias("seconds_p95"),
+    )
+    both = [F.struct(F.lit("run" if m in ("forms", "forms_with_output") else "cost_and_time").alias("metric"), F.lit("").alias("key"), pair(m, c(m)).alias("m")) for m in totals.columns]
+    usage = totals.select(F.explode(F.array(*both)).alias("x")).select("x.metric", "x.key", "x.m.*")
+    return usage.unionByName(scored)
+
+
 def summary(cells: DataFrame, forms: DataFrame, input_price: float, output_price: float) -> DataFrame:
     """All metrics as rows (metric, key, measure, value)."""
-
-    def tidy(df: DataFrame, name: str, key, skip: tuple[str, ...]) -> DataFrame:
-        measures = [c for c in df.columns if c not in skip]
-        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in measures])).alias("m")
-        return df.select(F.lit(name).alias("metric"), key.alias("key"), pairs).select("metric", "key", "m.measure", "m.value")
-
-    none = F.lit("")
-    parts = [
-        tidy(forms.agg(F.count(F.lit(1)).alias("forms"), F.count_if("produced_output").alias("forms_with_output")), "run", none, ()),
-        tidy(field_accuracy(cells), "field_accuracy", F.concat_ws(":", "scope", "key"), ("scope", "key")),
-        tidy(forms_without_critical_error(cells, forms), "forms_without_critical_error", none, ()),
-        tidy(character_error_rate(cells), "character_error_rate", F.col("key"), ("key",)),
-        tidy(checkbox_score(cells), "checkbox_score", none, ()),
-        tidy(category_accuracy(cells), "category_accuracy", F.col("name"), ("name", "most_common_answer")),
-        tidy(cost_and_time(forms, input_price, output_price), "cost_and_time", none, ()),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return measures(cells, forms, input_price, output_price).drop("text")
 
 
 def summary_document(cells: DataFrame, forms: DataFrame, input_price: float, output_price: float) -> dict:
-    """The summary as the nested document that a run writes; only metric rows (one per field) reach the driver."""
-    one = lambda df: df.first().asDict()
-    entry = lambda r, *names: {n: r[n] for n in names}
-    accuracy = {(r.scope, r.key): r for r in field_accuracy(cells).collect()}
-    empty = {"correct": 0, "total": 0, "accuracy": None}
-    rates = {r.key: r for r in character_error_rate(cells).collect()}
-    head = one(forms.agg(F.count(F.lit(1)).alias("forms"), F.count_if("produced_output").alias("forms_with_output")))
-    scores = lambda key: entry(accuracy[key], "correct", "total", "accuracy") if key in accuracy else dict(empty)
-    cost = one(cost_and_time(forms, input_price, output_price))
-    fields = sorted(k for s, k in accuracy if s == "field")
-    return head | {
-        "field_accuracy": {"critical": scores(("group", "critical")), "minor": scores(("group", "minor")), "per_field": {k: scores(("field", k)) for k in fields}},
-        "forms_without_critical_error": one(forms_without_critical_error(cells, forms)),
-        "character_error_rate": {k: entry(rates[k], "edits", "characters", "rate") if k in rates else {"edits": 0, "characters": 0, "rate": None} for k in ("overall", "critical", "minor")},
-        "checkbox_score": one(checkbox_score(cells)),
-        "category_accuracy": {r.name: {n: r[n] for n in ("correct", "total", "accuracy", "most_common_answer", "guess_most_common_accuracy")} for r in category_accuracy(cells).orderBy("name").collect()},
+    """The summary as the nested document that a run writes, from one action; only metric rows (a few per field) reach the driver."""
+    found: dict[str, dict[str, dict]] = {}
+    for r in measures(cells, forms, input_price, output_price).collect():
+        entry = found.setdefault(r.metric, {}).setdefault(r.key, {})
+        entry[r.measure] = int(r.value) if r.measure in COUNTS and r.value is not None else r.value
+        if r.metric == "category_accuracy":
+            entry["most_common_answer"] = r.text
+    accuracy, rates = found.get("field_accuracy", {}), found.get("character_error_rate", {})
+    score = lambda key: accuracy.get(key, {"correct": 0, "total": 0, "accuracy": None})
+    cost = found["cost_and_time"][""]
+    no_ticks = dict.fromkeys(("ticks_found", "ticks_missed", "ticks_extra", "tick_count_correct", "tick_count_total"), 0) | {"precision": None, "recall": None}
+    return found["run"][""] | {
+        "field_accuracy": {"critical": score("group:critical"), "minor": score("group:minor"), "per_field": {k.partition(":")[2]: accuracy[k] for k in sorted(accuracy) if k.startswith("field:")}},
+        "forms_without_critical_error": found.get("forms_without_critical_error", {}).get("", {"forms": 0, "without_critical_error": 0, "share": None}),
+        "character_error_rate": {k: rates.get(k, {"edits": 0, "characters": 0, "rate": None}) for k in ("overall", "critical", "minor")},
+        "checkbox_score": found.get("checkbox_score", {}).get("", no_ticks),
+        "category_accuracy": dict(sorted(found.get("category_accuracy", {}).items())),
         "cost_and_time": cost if cost["forms_measured"] else {"forms_measured": 0},
     }

@@ -7,17 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from formgrain.sources.scratch import written
+
 
 def numbered(rows: DataFrame, order: Sequence[Column], name: str = "position", parts: int = 0) -> DataFrame:
     """1, 2, ... over all rows in an order, without one task that sees them all.
 
-    Rows are range-partitioned and sorted; a row's number is its place in its partition plus the sizes of the partitions before.
-    Only those sizes (one row for each partition) are broadcast.
+    Rows are range-partitioned, sorted and written once, so that counts and numbers are of the same partitions even if a task runs again; a
+    row's number is its place in its partition plus the sizes of the partitions before. Only those sizes (one row each) are broadcast.
     """
     parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     low = (1 << 33) - 1  # the part of the generated id that counts within a partition
     ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     placed = ranged.withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND(low)})
+    placed = written(placed, "numbered")
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).drop("_n")
     return placed.join(F.broadcast(before), "_part").withColumn(name, F.coalesce("_before", F.lit(0)) + F.col("_place") + 1).drop("_part", "_place", "_before")

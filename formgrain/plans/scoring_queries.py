@@ -41,7 +41,7 @@ def _ticks(c: str) -> F.Column:
 @query(V.WITH_CELLS + """ SELECT form_id, path, name, kind, expected_text, predicted_text, array_to_string(expected_ticks, ',') AS expected_ticks,
  array_to_string(predicted_ticks, ',') AS predicted_ticks, expected_int, predicted_int, correct, edit_distance, reference_length FROM cells""")
 def cells(spark, sf):
-    joined = V.cells(V.joined_forms(spark, sf))
+    joined = V.cells(V.forms(spark, sf))
     return joined.select("form_id", "path", "name", "kind", "expected_text", "predicted_text", _ticks("expected_ticks"), _ticks("predicted_ticks"), "expected_int", "predicted_int", "correct", "edit_distance", "reference_length")
 
 

@@ -84,19 +84,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Truth left-joined with the prediction: as the prediction is a function of the truth's row, one expression says it.
-
-    Columns: form_id, split, produced_output, t_* and p_* of each field, usage (null without output).
-    """
-    made = ~every(97)
-    rows = truth(spark, sf_dir)
-    guess = corrupted()
-    usage = [F.when(made, F.col(n)).alias(n) for n in ("input_tokens", "output_tokens", "seconds")]
-    return rows.select("k", "form_id", "split", made.alias("produced_output"), *[F.col(n).alias(f"t_{n}") for n in NAMES], *[F.when(made, guess[n]).alias(f"p_{n}") for n in NAMES], *usage)
-
-
-def joined_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by a left outer join of two tables on form_id."""
+    """Truth left-joined with the prediction on form_id: form_id, split, produced_output, t_* and p_* of each field, usage (null without output)."""
     t = truth(spark, sf_dir)
     p = predictions(spark, sf_dir)
     left = t.select("k", "form_id", "split", *[F.col(n).alias(f"t_{n}") for n in NAMES])

@@ -6,11 +6,13 @@ import json
 import platform
 from collections.abc import Sequence
 from datetime import date
+from importlib import metadata
 
-import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from formgrain.sources import scratch
+
 SCHEMA = "form_id string, text string, json string, run_id string, step string"
 
 
@@ -40,6 +42,11 @@ class ArtifactStore:
         rows = self.spark.read.schema(SCHEMA).parquet(f"{self.root}/artifacts")
         return rows.where((F.col("run_id") == self.run_id) & (F.col("step") == step)).select("form_id", "text", "json")
 
+    def has(self, step: str) -> bool:
+        """Whether the run has any artifact of a step."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/artifacts/run_id={self.run_id}/step={step}")
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+
     def exists(self, forms: DataFrame, *steps: str) -> DataFrame:
         """Those forms that have an artifact of every step."""
         for step in steps:
@@ -51,6 +58,11 @@ class ArtifactStore:
         self.write_json(rows, "errors", ["error", "type"])
 
 
+def scratch_store(spark: SparkSession) -> ArtifactStore:
+    """A store of its own for a run that keeps nothing, in the shared folder."""
+    return ArtifactStore(spark, scratch.path(spark, "run"), "run")
+
+
 def describe_run(run_id: str, settings: dict, forms: list[tuple[str, str]], command: str, fingerprint: str | None = None, day: date | None = None) -> dict:
     """What a run was: settings without secrets, forms, versions, fingerprint of the data, command."""
     return {
@@ -58,13 +70,24 @@ def describe_run(run_id: str, settings: dict, forms: list[tuple[str, str]], comm
         "date": (day or date.today()).isoformat(),
         "command": command,
         "python": platform.python_version(),
-        "versions": {"pyspark": pyspark.__version__},
+        "versions": versions(),
         "dataset_fingerprint": fingerprint,
         "settings": settings,
         "forms": [{"id": i, "split": s} for i, s in forms],
     }
 
 
+def versions() -> dict[str, str]:
+    """Versions of the libraries that a run may use, as far as they are installed."""
+    out = {}
+    for name in ("pyspark", "pyarrow", "pandas", "numpy"):
+        try:
+            out[name] = metadata.version(name)
+        except metadata.PackageNotFoundError:
+            continue
+    return out
+
+
 def write_run_files(spark: SparkSession, folder: str, description: dict, summary: dict) -> None:
     """``run.json`` and ``summary.json`` beside a run's artifacts, on any file system that Spark reaches."""
     fs_path = spark._jvm.org.apache.hadoop.fs.Path

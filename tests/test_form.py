@@ -282,7 +282,7 @@ def test_field_reader_waits_longer_each_time():
         calls.append(body)
         if len(calls) < 3:
             raise OSError("down")
-        return reply('{"header": {"date": "1/1/2020"}, "vehicle_a": {"plate": null}, "vehicle_b": {"plate": "2-B-2"}}')
+        return reply('{"date": "1/1/2020", "vehicle_a.plate": null, "vehicle_b.plate": "2-B-2"}')
 
     reader = models.FieldReader(client, ["date", "plate"], sleep=waits.append)
     assert reader.ask({"date": b"png"}) == {"date": "1/1/2020", "vehicle_b.plate": "2-B-2"} and waits == [5.0, 10.0]
@@ -319,6 +319,53 @@ def test_a_run_with_a_failing_form_and_reuse(spark, tmp_path):
     assert len(open(mark).read()) - before == 2  # only the form that failed is asked again, twice
 
 
+def test_no_form_is_asked_for_twice(spark, tmp_path):
+    forms = spark.createDataFrame([(str(i), bytearray(b"image%d" % i), "png") for i in range(3)], "form_id string, content binary, suffix string")
+    truth = spark.createDataFrame([(str(i), record()) for i in range(3)], S.T.StructType([S.T.StructField("form_id", S.T.StringType()), S.T.StructField("truth", S.RECORD_SCHEMA)]))
+    answer, calls = json.dumps(record(phone_a="06 12")), tmp_path / "calls"
+    calls.mkdir()
+
+    def said(name):
+        return (calls / name).read_text() if (calls / name).exists() else ""
+
+    def counted(name):
+        def step(batches):
+            for rows in batches:
+                with open(calls / name, "a") as f:
+                    f.write("x" * len(rows))
+                if name == "straighten":
+                    yield rows.assign(content=[bytes(x) + b"!" for x in rows["content"]])[["form_id", "content", "suffix"]]
+                else:
+                    yield pd.DataFrame({"form_id": rows["form_id"], "answers": [{"date": "31/12/2023"}] * len(rows), "refine_failed": [x == "1" for x in rows["form_id"]]})
+
+        return step
+
+    def make():
+        def client(body):
+            with open(calls / "structure", "a") as f:
+                f.write("x")
+            return reply(answer)
+
+        return models.VisionStructurer(client)
+
+    def flow(keep):
+        return Flow(
+            structure=lambda f: models.structure_pages(f.select("form_id", "content", "suffix", "text"), make),
+            straighten=lambda f: f.mapInPandas(counted("straighten"), "form_id string, content binary, suffix string"),
+            refine=lambda f: f.select("form_id").mapInPandas(counted("refine"), "form_id string, answers map<string,string>, refine_failed boolean"),
+            refine_paths=("date",), store=keep, reuse=keep is not None,
+        )
+
+    done, _, summary = flow(None).run(forms, truth)
+    assert summary["forms_with_output"] == 3 and [len(said(x)) for x in ("straighten", "structure", "refine")] == [3, 3, 3]
+    assert {r.form_id: r.record.date for r in done.collect()} == dict.fromkeys("012", "31/12/2023")
+    keep = store.ArtifactStore(spark, f"{tmp_path}/runs", "r")
+    flow(keep).run(forms, truth)
+    assert bytes(keep.read("straightened").where("form_id = '1'").select(F.unbase64(F.get_json_object("json", "$.content")).alias("c")).first().c) == b"image1!"
+    flow(keep).run(forms, truth)
+    assert [len(said(x)) for x in ("straighten", "structure", "refine")] == [6, 6, 7]  # only the re-reading that failed is done again
+
+
 def test_kernels(spark):
     page = np.full((400, 300, 3), 255, np.uint8)
     page[60:380, 80:90] = page[60:380, 200:210] = (60, 160, 60)
@@ -345,10 +392,12 @@ def test_kernels(spark):
     ys, xs = np.mgrid[:120, :240]
     ink[np.abs(np.hypot(xs - 160, ys - 60) - 22) < 2] = 255
     assert kernels.most_circled(ink, [(60, 60), (160, 60)]) == 1
-    picture = np.full((331, 232, 3), 255, np.uint8)
-    assert kernels.impact_zone(picture, overlay.ZONES, overlay.IMPACT_SIZE) == "front_left"
-    picture[110:220, 150:219] = (224, 168, 46)
-    assert kernels.impact_zone(picture, overlay.ZONES, overlay.IMPACT_SIZE) == "right"
+    blank_picture = np.full((662, 464, 3), 255, np.uint8)
+    picture = blank_picture.copy()
+    picture[220:440, 300:438] = (224, 168, 46)
+    rows = spark.createDataFrame([("none", 662, 464, 3, bytearray(blank_picture.tobytes())), ("blue", 662, 464, 3, bytearray(picture.tobytes()))], "origin string, height int, width int, nChannels int, data binary")
+    patches = kernels.over_images(rows, lambda x: kernels.blue_patch(x, overlay.IMPACT_SIZE), "array<double>")
+    assert {r.origin: r.zone for r in patches.select("origin", overlay.patch_zone(F.col("value")).alias("zone")).collect()} == {"none": "front_left", "blue": "right"}
     crop = kernels.field_crop(np.full((50, 50, 3), 77, np.uint8), (20, 20, 30, 30))
     assert crop.shape == (72, 90, 3) and (crop == 77).all()
     rows = spark.createDataFrame([("a", 400, 300, 3, bytearray(page.tobytes())), ("b", -1, -1, -1, bytearray())], "origin string, height int, width int, nChannels int, data binary")
