@@ -9,9 +9,24 @@ from pyspark.sql import functions as F
 _SPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
+#: Lower-case characters that case folding changes further, from Python's own tables: one character for one, and one for several.
+_FOLDED = {chr(c): chr(c).casefold() for c in range(0x80, 0x1F000) if chr(c).lower() == chr(c) and chr(c).casefold() != chr(c)}
+_ONE = {a: b for a, b in _FOLDED.items() if len(b) == 1}
+_SEVERAL = {a: b for a, b in _FOLDED.items() if len(b) > 1}
+
+
+def casefold(text: Column) -> Column:
+    """Full case folding. Texts of ASCII, nearly all, are lowered only."""
+    single = F.translate(F.lower(text), "".join(_ONE), "".join(_ONE.values()))
+    table = F.create_map(*[F.lit(x) for pair in _SEVERAL.items() for x in pair])
+    spread = F.array_join(F.transform(F.split(single, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
+    several = F.when(single.rlike("[" + "".join(_SEVERAL) + "]"), spread).otherwise(single)
+    return F.when(text.rlike(r"[^\x00-\x7f]"), several).otherwise(F.lower(text))
+
+
 def normalize(value: Column) -> Column:
-    """One space for any white space, no space at the ends, lower case (with the sharp s unfolded)."""
-    return F.replace(F.lower(F.trim(F.regexp_replace(value.cast("string"), _SPACE, " "))), F.lit("ß"), F.lit("ss"))
+    """One space for any white space, no space at the ends, case folded."""
+    return casefold(F.trim(F.regexp_replace(value.cast("string"), _SPACE, " ")))
 
 
 def compact(value: Column) -> Column:

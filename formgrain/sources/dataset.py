@@ -68,26 +68,67 @@ def image_bytes(spark: SparkSession, path: str, pattern: str = "*.{jpg,jpeg,png}
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "length", "content")
 
 
+def names_in(listed: str) -> tuple[str, ...]:
+    """Names of a comma-separated setting; blanks are dropped."""
+    return tuple(x.strip() for x in listed.split(",") if x.strip())
+
+
+def known_forms(ids: DataFrame, forms: DataFrame) -> DataFrame:
+    """The manifest's rows of a run's forms (column ``id``); an id that the manifest lacks fails while it runs."""
+    marked = ids.select("id").join(forms.withColumn("_there", F.lit(True)), "id", "left")
+    lacking = F.raise_error(F.concat(F.lit("ConfigurationError: the dataset has no form "), F.col("id"))).cast("boolean")
+    return marked.where(F.coalesce("_there", lacking)).drop("_there")
+
+
+def decoded_photos(spark: SparkSession, root: str, forms: DataFrame) -> DataFrame:
+    """Of manifest rows: form_id and the columns of the image source."""
+    rows = images(spark, f"{root}/images")
+    name = lambda c: F.substring_index(F.regexp_replace(c, r"\.[^./]+$", ""), "/", -1)
+    wanted = forms.select(F.col("id").alias("form_id"), name(F.col("image")).alias("file"))
+    return rows.withColumn("file", name(F.col("origin"))).join(wanted, "file").drop("file")
+
+
+def form_files(spark: SparkSession, root: str, forms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of manifest rows: images (form_id, split, content, suffix) and answer keys (form_id, split, truth)."""
+    name = lambda c: F.substring_index(F.regexp_replace(c, r"\.[^./]+$", ""), "/", -1)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{jpg,jpeg,png}").load(root)
+    files = files.select(name(F.col("path")).alias("file"), F.lower(F.substring_index("path", ".", -1)).alias("suffix"), "content")
+    images = forms.select(F.col("id").alias("form_id"), "split", name(F.col("image")).alias("file")).join(files, "file").drop("file")
+    keys = records(spark, f"{root}/truth").select(F.col("id").alias("form_id"), F.col("record").alias("truth"))
+    return images, forms.select(F.col("id").alias("form_id"), "split").join(keys, "form_id")
+
+
 @dataclass(frozen=True)
 class Settings:
-    """Settings from the environment (upper-case names) and an optional ``.env`` file; secrets never show in a run's description."""
+    """Settings from the environment (upper-case names) and an optional ``.env`` file; secrets never show in a run's description.
+
+    ``workers`` is the number of partitions in which forms go through the models; ``trace`` names Spark's jobs after the run's steps.
+    """
 
     dataset_dir: str = "data/synthetic"
     runs_dir: str = "runs"
+    dev_count: int = 5
+    test_count: int = 20
+    workers: int = 4
     straightener: str = ""
     ocr_engine: str = "none"
+    ocr_languages: tuple[str, ...] = ("fra",)
     structurer: str = "vision"
+    structuring_prompt: str = ""
     repair_rules: str = ""
     refine_fields: str = ""
+    refine_scale: int = 3
     read_marks: bool = False
-    workers: int = 4
     ocr_url: str = ""
     structure_url: str = ""
-    refine_url: str = ""
     model: str = ""
+    temperature: float = 0.0
+    reasoning_effort: str = ""
+    retries: int = 2
     input_price: float = 0.0
     output_price: float = 0.0
     timeout: float = 1800.0
+    trace: bool = False
     api_key: str = field(default="", repr=False)
     server_token: str = field(default="", repr=False)
 
@@ -107,7 +148,8 @@ class Settings:
             if f.name in found:
                 kind = type(f.default)
                 try:
-                    out[f.name] = found[f.name].lower() in ("1", "true", "yes", "on") if kind is bool else kind(found[f.name])
+                    value = found[f.name]
+                    out[f.name] = value.lower() in ("1", "true", "yes", "on") if kind is bool else names_in(value) if kind is tuple else kind(value)
                 except ValueError as e:
                     raise ConfigurationError(f"{f.name} must be {kind.__name__}: {found[f.name]!r}") from e
         return cls(**out)
