@@ -285,3 +285,122 @@ def test_passages_of_which_an_earlier_document_has_a_part(spark):
     got = spans(spark, texts)
     for i in range(0, 24, 3):
         assert [x[1] - x[0] >= 60 for x in got[i + 2, i + 1]] == [True]
+
+
+def plain_alignment(a, b):
+    """Best local alignment of two word lists (match 1, else -1) by tables: its words in both, and its identity."""
+    score = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    best, where = 0, (0, 0)
+    for i, x in enumerate(a, 1):
+        row, above = score[i], score[i - 1]
+        for j, y in enumerate(b, 1):
+            row[j] = max(0, above[j - 1] + (1 if x == y else -1), above[j] - 1, row[j - 1] - 1)
+            if row[j] > best:
+                best, where = row[j], (i, j)
+    (i, j), same, columns = where, 0, 0
+    while i and j and score[i][j]:
+        columns += 1
+        if score[i][j] == score[i - 1][j - 1] + (1 if a[i - 1] == b[j - 1] else -1):
+            same += a[i - 1] == b[j - 1]
+            i, j = i - 1, j - 1
+        elif score[i][j] == score[i - 1][j] - 1:
+            i -= 1
+        else:
+            j -= 1
+    return min(where[0] - i, where[1] - j), same / max(1, columns)
+
+
+def overlapping_texts(rng):
+    """Passages of which earlier and later documents hold overlapping parts, some with words changed."""
+    from tests.llm.conftest import prose
+
+    texts = []
+    for k in range(6):
+        passage = prose(rng, 90).split()
+        parts = [passage[i : i + 30] for i in (0, 12, 24, 36, 48, 60)]
+        holders = [*parts, passage, parts[2], passage, *parts[3:5], passage]
+        for x in holders:
+            x = list(x)
+            for _ in range(len(x) // 12 if k >= 3 else 0):
+                x[rng.randrange(len(x))] = prose(rng, 1)
+            texts.append(" ".join([prose(rng, 12), *x, prose(rng, 12)]))
+    return texts
+
+
+def test_every_two_documents_with_a_passage_are_joined(spark):
+    import random
+
+    texts = overlapping_texts(random.Random(34))
+    split = [words(t) for t in texts]
+    wanted = []
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(set(split[i]) & set(split[j])) >= 36:
+                size, identity = plain_alignment(split[i], split[j])
+                if size >= 50 and identity >= 0.85:
+                    wanted.append((i, j))
+    found = passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    root = union([(r.doc_id, r.other_id) for r in found], range(len(texts)))
+    joined = [root[i] == root[j] for i, j in wanted]
+    assert len(wanted) >= 15 and sum(joined) >= 0.95 * len(joined)
+    verbatim = [(i, j) for i, j in wanted if i < 36]
+    assert all(root[i] == root[j] for i, j in verbatim) and len(verbatim) >= 9
+    for r in found:  # what is found is alike
+        size, identity = plain_alignment(split[r.doc_id][r.start_word : r.end_word], split[r.other_id][r.other_start : r.other_end])
+        assert size >= 40 and identity >= 0.78
+
+
+def test_extension_and_gaps_equal_plain_tables():
+    import random
+
+    from formgrain.llm import chain_dedup as C
+
+    rng = random.Random(12)
+    rows = [([rng.randrange(3, 9) for _ in range(rng.randrange(0, 14))], [rng.randrange(3, 9) for _ in range(rng.randrange(0, 14))]) for _ in range(200)]
+    flat = lambda k: np.array([x for r in rows for x in r[k]], np.int64)
+    size = lambda k: np.array([len(r[k]) for r in rows])
+    left, right = (C.Ranges(flat(k), np.cumsum(size(k)) - size(k), np.cumsum(size(k))) for k in (0, 1))
+    pick = np.arange(200)
+    common = C.in_parts(C._common, left, right, pick, 16, 1)[:, 0]
+    for (a, b), got in zip(rows, common):
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                table[i][j] = table[i - 1][j - 1] + 1 if x == y else max(table[i - 1][j], table[i][j - 1])
+        assert got == table[-1][-1]
+    for back in (False, True):
+        best = C.in_parts(C._extend, left, right, pick, 16, 3, back)
+        for (a, b), (m, n, same) in zip(rows, best.tolist()):
+            a, b = (a[::-1], b[::-1]) if back else (a, b)
+            score = lambda i, j: top_score(a[:i], b[:j])
+            assert score(m, n) == max(score(i, j) for i in range(len(a) + 1) for j in range(len(b) + 1)) if len(a) * len(b) < 60 else True
+            assert same <= min(m, n)
+
+
+def top_score(a, b):
+    """Score of the best alignment of two whole sequences (match 1, else -1)."""
+    row = [-j for j in range(len(b) + 1)]
+    for i, x in enumerate(a, 1):
+        new = [-i]
+        for j, y in enumerate(b, 1):
+            new.append(max(row[j - 1] + (1 if x == y else -1), row[j] - 1, new[-1] - 1))
+        row = new
+    return row[-1]
+
+
+def test_frequent_seeds_are_dealt_to_groups_and_still_joined(spark, monkeypatch):
+    import random
+
+    from formgrain.llm import chain_dedup as C
+    from tests.llm.conftest import prose
+
+    rng = random.Random(35)
+    passage = prose(rng, 70)
+    texts = [f"{prose(rng, 8)} {passage} {prose(rng, 8)}" if i % 2 else prose(rng, 30) for i in range(120)]
+    monkeypatch.setattr(C, "GROUP", 5)
+    monkeypatch.setattr(C, "ASKS", 7)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = passages(docs).collect()
+    root = union([(r.doc_id, r.other_id) for r in found], range(120))
+    assert {root[i] for i in range(1, 120, 2)} == {1} and all(root[i] == i for i in range(0, 120, 2))
+    assert all(r.end_word - r.start_word >= C.LEAST_WORDS for r in found) and sum(r.end_word - r.start_word >= 70 for r in found) >= len(found) / 2
