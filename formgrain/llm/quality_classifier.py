@@ -99,6 +99,7 @@ def score_block(words: Words, weights: np.ndarray, bias: float) -> np.ndarray:
     total, n = np.zeros(len(words.starts)), np.zeros(len(words.starts))
     for ids, s, e in _hashed(words):
         sums = np.concatenate([[0.0], np.cumsum(weights[ids], dtype=np.float64)])
+        s, e = np.minimum(s, len(ids)), np.minimum(e, len(ids))  # short texts at the end of a block
         total += sums[e] - sums[s]
         n += e - s
     return 1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + bias, -700, 700)))
