@@ -337,7 +337,17 @@ def near_miss_final(spark, sf):
     return analysis.histogram(wrong.select(analysis.final_bucket(F.col("predicted_text"), F.col("edit_distance")).alias("final")), "final")
 
 
-@query()
+def _stretch_sql(value: str, text: str) -> str:
+    """Edits to the best stretch of a text, 3 for more: one that is at most 2 edits away is at most 2 longer or shorter than the value."""
+    stretch = f"list_min(list_transform(range(1, length({text}) + 1), lambda i: list_min(list_transform(range(greatest(length({value}) - 2, 0), length({value}) + 3), lambda n: levenshtein({value}, substr({text}, i, n))))))"
+    return f"least(3, length({value}), coalesce({stretch}, 3))"
+
+
+@query(V.WITH_CELLS + f""", t AS (SELECT form_id, {_NOTE} AS text FROM truth),
+w AS (SELECT name, {_compact('expected_text')} AS want, {_compact('text')} AS have, regexp_replace({V._norm('expected_text')}, '[^\\p{{L}}\\p{{N}}]', '', 'g') AS want_letters, regexp_replace({V._norm('text')}, '[^\\p{{L}}\\p{{N}}]', '', 'g') AS have_letters
+  FROM cells JOIN t USING (form_id) WHERE {_TEXT} AND NOT correct),
+b AS (SELECT name, CASE WHEN contains(have, want) THEN 0 WHEN contains(have_letters, want_letters) THEN 1 ELSE 1 + {_stretch_sql('want', 'have')} END AS near FROM w)
+SELECT name, count(*) AS wrong, count(*) FILTER (near = 0) AS exact, count(*) FILTER (near = 1) AS punctuation, count(*) FILTER (near IN (2, 3)) AS near, count(*) FILTER (near > 3) AS far FROM b GROUP BY name""")
 def near_miss_text(spark, sf):
     """Wrong cells by field and closeness to the text (exact distances, in Arrow batches)."""
     return analysis.per_field(analysis.near_misses(_cells(spark, sf), _texts(spark, sf)))

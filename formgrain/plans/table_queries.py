@@ -158,12 +158,16 @@ def dates(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", X.format_date(X.parse_date(written)).alias("parsed"), X.format_date(X.add_years(d, 10)).alias("ten_years_on"))
 
 
-@query()
+_WANT = "replace(lower(p_type), ' ', '')"
+_HAVE = "replace(lower(p_name || ' ' || substr(p_type, 1 + p_partkey % 4, 9 + p_partkey % 11) || ' ' || p_brand), ' ', '')"
+
+
+@query(f"""WITH p AS (SELECT p_partkey, {_WANT} AS want, {_HAVE} AS have FROM part)
+SELECT p_partkey, CAST(list_min(list_transform(range(1, length(have) + 2), lambda i: list_min(list_transform(range(0, length(have) + 2 - i), lambda n: levenshtein(want, substr(have, i, n)))))) AS INTEGER) AS edits FROM p""")
 def nearest_text(spark, sf):
-    """For each benchmark item, the edits to the best stretch of the document of the same number."""
-    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("item"))
-    pairs = table(spark, sf, "documents").select("doc_id", "text").join(items, "doc_id")
-    return pairs.select("doc_id", analysis.nearest_distance(X.compact(F.col("item")), X.compact(F.col("text"))).alias("edits"))
+    """For each part, the edits between its type and the best stretch of a text that holds a part of it."""
+    parts = table(spark, sf, "part").select("p_partkey", F.expr(_WANT).alias("want"), F.expr(_HAVE).alias("have"))
+    return parts.select("p_partkey", analysis.nearest_distance(F.col("want"), F.col("have")).alias("edits"))
 
 
 @query()
