@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from formgrain.functions import geometry as G
 from formgrain.functions import text as X
-from formgrain.operators import analysis, layout, ordering
+from formgrain.operators import analysis, layout, ordering, scoring
 from formgrain.plans.scoring_queries import query
 from formgrain.plans.views import table
 from formgrain.sources import generator
@@ -142,11 +142,12 @@ _RAD = "radians(p_partkey % 360)"
 
 
 @query(f"""SELECT p_partkey, round(cos({_RAD}) * p_size - sin({_RAD}) * 8, 6) AS x, round(sin({_RAD}) * p_size + cos({_RAD}) * 8, 6) AS y,
- round(abs(cos({_RAD})) * 18 + abs(sin({_RAD})) * 8, 6) AS half_x, CAST(round_even(p_size * (200 / 72.0::DOUBLE), 0) AS INTEGER) AS pixels FROM part""")
+ round(abs(cos({_RAD})) * 18 + abs(sin({_RAD})) * 8, 6) AS half_x,
+ round((degrees(atan2(p_size - 20.5, p_partkey % 91 - 45)) + 360) % 360, 6) AS heading, CAST(round_even(p_size * (200 / 72.0::DOUBLE), 0) AS INTEGER) AS pixels FROM part""")
 def geometry(spark, sf):
     degrees = (F.col("p_partkey") % 360).cast("double")
     x, y = G.rotate(F.col("p_size"), F.lit(8.0), degrees)
-    return table(spark, sf, "part").select("p_partkey", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), F.round(G.half_extents(36, 16, degrees)[0], 6).alias("half_x"), G.to_pixels(F.col("p_size")).alias("pixels"))
+    return table(spark, sf, "part").select("p_partkey", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), F.round(G.half_extents(36, 16, degrees)[0], 6).alias("half_x"), F.round(G.heading((F.col("p_partkey") % 91 - 45).cast("double"), F.col("p_size") - 20.5), 6).alias("heading"), G.to_pixels(F.col("p_size")).alias("pixels"))
 
 
 @query("""WITH d AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders), p AS (SELECT o_orderkey, d, CASE o_orderkey % 3 WHEN 0 THEN strftime(d, '%d/%m/%Y') WHEN 1 THEN strftime(d, '%-d/%-m/%Y') ELSE strftime(d, '%Y-%m-%d') END AS t FROM d)
@@ -158,6 +159,21 @@ def dates(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", X.format_date(X.parse_date(written)).alias("parsed"), X.format_date(X.add_years(d, 10)).alias("ten_years_on"))
 
 
+_POINTS = [(f"(p_partkey * {3 + 4 * i} + {i * 17}) % 101", f"(p_partkey * {5 + 6 * i} + {i * 29}) % 103") for i in range(4)]
+_PICKS = "x + y, x, y", "y - x, x, y", "-x - y, x, y", "x - y, x, y"
+
+
+@query(f"""WITH p AS ({' UNION ALL '.join(f"SELECT p_partkey, {x} AS x, {y} AS y FROM part" for x, y in _POINTS)}),
+r AS (SELECT *, {', '.join(f"row_number() OVER (PARTITION BY p_partkey ORDER BY {k}) AS r{i}" for i, k in enumerate(_PICKS))} FROM p)
+SELECT p_partkey, {" || ' ' || ".join(f"max(CASE WHEN r{i} = 1 THEN x || ',' || y END)" for i in range(4))} AS corners FROM r GROUP BY p_partkey""")
+def corner_order(spark, sf):
+    """Four points of each part as top left, top right, bottom right, bottom left; of equals the one further left, then further up."""
+    points = F.array(*[F.struct(F.expr(x).cast("long").alias("x"), F.expr(y).cast("long").alias("y")) for x, y in _POINTS])
+    placed = ordering.corners(points)
+    text = F.array_join(F.transform(placed, lambda c: F.concat_ws(",", c["x"], c["y"])), " ")
+    return table(spark, sf, "part").select("p_partkey", text.alias("corners"))
+
+
 _WANT = "replace(lower(p_type), ' ', '')"
 _HAVE = "replace(lower(p_name || ' ' || substr(p_type, 1 + p_partkey % 4, 9 + p_partkey % 11) || ' ' || p_brand), ' ', '')"
 
@@ -182,6 +198,13 @@ def generated_fingerprint(spark, sf):
     return generator.fingerprint(generator.dataset(spark))
 
 
+@query("SELECT split, count(*) AS forms, count(*) AS in_vocabulary, 0 AS empty, min(id) AS first_id, max(id) AS last_id FROM (SELECT lpad(CAST(i AS VARCHAR), 6, '0') AS id, CASE WHEN i < 100 THEN 'dev' ELSE 'test' END AS split FROM range(500) t(i)) GROUP BY split")
+def generated_checks(spark, sf):
+    """Of the synthetic records of each split: how many there are, how many keep to the closed vocabularies, how many hold nothing."""
+    rows = generator.dataset(spark).select("id", "split", "record")
+    return rows.groupBy("split").agg(F.count(F.lit(1)).alias("forms"), F.count_if(scoring.in_vocabulary("record")).alias("in_vocabulary"), F.count_if(scoring.is_empty("record")).cast("int").alias("empty"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
 @query("SELECT '' AS id, '' AS rule WHERE false")
 def generated_invariants(spark, sf):
     """Rules of consistency that a synthetic record breaks: none."""
