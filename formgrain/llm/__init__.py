@@ -20,7 +20,11 @@ MODULES = {
 
 
 def queries() -> dict:
-    return {name: getattr(importlib.import_module(f"formgrain.llm.{module}"), name) for name, module in MODULES.items()}
+    found: dict = {}
+    for name, module in MODULES.items():
+        held = importlib.import_module(f"formgrain.llm.{module}")
+        found |= {name: getattr(held, name)} | getattr(held, "MORE", {})
+    return found
 
 
 def oracle_sql() -> dict[str, str]:

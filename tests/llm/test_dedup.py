@@ -404,3 +404,17 @@ def test_frequent_seeds_are_dealt_to_groups_and_still_joined(spark, monkeypatch)
     root = union([(r.doc_id, r.other_id) for r in found], range(120))
     assert {root[i] for i in range(1, 120, 2)} == {1} and all(root[i] == i for i in range(0, 120, 2))
     assert all(r.end_word - r.start_word >= C.LEAST_WORDS for r in found) and sum(r.end_word - r.start_word >= 70 for r in found) >= len(found) / 2
+
+
+def test_copies_end_where_they_end(spark):
+    import random
+
+    from tests.llm.conftest import prose
+
+    rng = random.Random(36)
+    text = prose(rng, 70)
+    rows = [(i, text) for i in range(6)]
+    for parts in (1, 6):  # in one block, and each the first of its own
+        found = passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "doc_id")).collect()
+        assert {(r.start_word, r.end_word, r.other_start, r.other_end, r.identity) for r in found} == {(0, 70, 0, 70, 1.0)}
+        assert {r.doc_id for r in found} == set(range(1, 6))
