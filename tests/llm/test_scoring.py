@@ -72,7 +72,7 @@ def test_ppm_of_nothing(docs, empty):
 
 
 class PlainPpm:
-    """Prediction by partial matching (escape D, exclusion) from dictionaries, a byte at a time."""
+    """Prediction by partial matching (with exclusion) from dictionaries, a byte at a time."""
 
     def __init__(self, texts, order):
         self.order, self.seen = order, {}
@@ -89,11 +89,11 @@ class PlainPpm:
             if not counts:
                 continue
             n = sum(counts.values())
-            level = {b: (2 * c - 1) / (2 * n) for b, c in counts.items()}
+            level = {b: (c - ppm.ESCAPE) / n for b, c in counts.items()}
             left = 1 - sum(level.get(b, 0) for b in out)  # exclusion: what longer contexts offered is not to come
             if byte in level:
                 return share * level[byte] / left
-            share *= (len(counts) / (2 * n)) / left
+            share *= len(counts) * ppm.ESCAPE / n / left
             out = set(counts)
         return share / (256 - len(out))
 
@@ -242,3 +242,171 @@ def test_pairs_of_words_do_not_cross_texts():
     raw, offsets = utf8(pa.array(["a b", "c d"], pa.string()))
     w = Words(raw, offsets, 0, 2)
     assert signed(w.hash).shape == (4,) and w.first.tolist() == [0, 2] and re.findall("x", "") == []
+
+
+def training_texts():
+    rng = random.Random(41)
+    return [prose(rng, rng.randrange(30, 120)) for _ in range(300)]
+
+
+def planted(formats, seed, n=120):
+    """Texts with one secret of these formats, after a word that no pattern has or after none, and three look-alikes each."""
+    rng, draw = random.Random(seed), np.random.default_rng(seed)
+    rows, kinds = [], list(formats)
+    for i in range(n):
+        secret = formats[kinds[i % len(kinds)]](draw)
+        w = prose(rng, 80).split(" ")
+        w.insert(rng.randrange(80), rng.choice(["bearer {}", "pwd: {}", "credential {}", "{}", "\n{}\n", "https://user:{}@example.com/"]).format(secret))
+        for _ in range(3):
+            w.insert(rng.randrange(len(w)), rng.choice(secret_crf.INNOCENT)(draw))
+        rows.append((" ".join(w), secret))
+    return rows
+
+
+def test_field_finds_formats_that_were_left_out_of_training():
+    hits = found = wanted = 0
+    for left_out in (["base64", "mixed"], ["prefixed", "live"], ["signed", "dashed"], ["block"]):
+        model = secret_crf.fit(training_texts(), {k: f for k, f in secret_crf.FORMATS.items() if k not in left_out})
+        rows = planted({k: secret_crf.FORMATS[k] for k in left_out}, 7)
+        for (text, secret), spans in zip(rows, secret_crf.scan_texts(pa.array([t for t, _ in rows]), model)):
+            at = text.find(secret)
+            own = [(s, e) for s, kind, e in spans if kind == "crf"]
+            right = [x for x in own if x[0] < at + len(secret) and x[1] > at]
+            wanted, hits, found = wanted + 1, hits + bool(right), found + len(own) - max(0, len(right) - 1)
+            assert not any(kind != "crf" for _, kind, _ in spans)  # no pattern has these
+    assert hits >= 0.9 * wanted and hits >= 0.9 * found
+
+
+def base_by_hand(text):
+    """The fixed patterns, character by character, without the module's expressions."""
+    chars = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    lower = text.translate({c: c + 32 for c in range(65, 91)})
+    out = []
+
+    def span(at, allowed):
+        to = at
+        while to < len(text) and text[to] in allowed:
+            to += 1
+        return to
+
+    i = 0
+    while i < len(text):  # a word, a quote or none, blanks, a sign, blanks, a quote or none, the value
+        step = i + 1
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if lower.startswith(word, i):
+                j = i + len(word)
+                j += text[j : j + 1] in ("'", '"')
+                j = span(j, " ")
+                if text[j : j + 1] in (":", "="):
+                    j = span(j + 1, " ")
+                    j += text[j : j + 1] in ("'", '"')
+                    k = span(j, chars + "+/_.=-")
+                    if k > j:
+                        step = k
+                        if k - j >= 8:
+                            out.append((i, "assign", k))
+                        break
+        i = step
+    i = 0
+    while (i := text.find("AKIA", i)) >= 0:
+        k = span(i + 4, chars[26:])
+        if k - i >= 16:
+            out.append((i, "access", k))
+        i = k if k > i + 4 else i + 1
+    i = 0
+    while i < len(text):
+        k = span(i, "0123456789abcdef")
+        if k - i >= 32:
+            out.append((i, "hex", k))
+        i = max(k, i + 1)
+    return sorted(out, key=lambda x: (x[0], ("assign", "access", "hex").index(x[1])))
+
+
+def test_base_spans_by_hand():
+    rng = random.Random(19)
+    bits = ["password", "PASSWD", "secret", "Token", "api_key", "apikey", "ſecret", "toKen", '"', "'", " ", "  ", "\t", ":", "=", "abc", "0123456789abcdef", "AKIA", "ABCDEFGH1234", "x.y/z+w_-=", "é", "\n", "deadbeefdeadbeefdeadbeefdeadbeef"]
+    for _ in range(4000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 14)))
+        assert secret_crf.pattern_spans(text) == base_by_hand(text), text
+
+
+def test_quality_score_by_hand(spark):
+    """A score is the softmax of the mean of the features' shares of the log odds, feature by feature."""
+    from formgrain.llm.common import mix, prefix_hash, range_hash
+
+    rng = np.random.default_rng(4)
+    weights, bias = rng.normal(0, 3, 1 << Q.BITS).astype(np.float32), -0.3
+    texts = ["Some words, some words", "", " \n", "a", "été à la a a a", "ab abc abcd abcde " * 9]
+    raw, offsets = utf8(pa.array(texts))
+    got = np.concatenate([Q.score_block(Words(raw, offsets, a, b), weights, bias) for a, b in blocks(offsets, 40)])
+    top = np.uint64(64 - Q.BITS)
+    for text, score in zip(texts, got):
+        low = np.frombuffer((text.translate({c: c + 32 for c in range(65, 91)}) + "\n").encode(), np.uint8)
+        hashes, at = [], 0
+        for word in words(text):
+            at = low.tobytes().index(word.encode(), at)
+            to = at + len(word.encode())
+            hashes.append(range_hash(prefix_hash(low), np.array([at]), np.array([to]))[0])
+            at = to
+        ids = [int(h >> top) for h in hashes]
+        for a, b in zip(hashes, hashes[1:]):
+            with np.errstate(over="ignore"):
+                pair = np.uint64(0x5DEECE66D1CE4E5B) if a == b else mix(np.array([a * np.uint64(3) + b]))[0]
+            ids.append(int(pair >> top))
+        data = text.encode()
+        for n in Q.NGRAMS:
+            for i in range(len(data) - n + 1):
+                x = data[i] * int(Q._C[0]) + n * 0x01000193
+                for j in range(1, n):
+                    x += data[i + j] * int(Q._C[j])
+                x &= 2**32 - 1
+                x = ((x ^ x >> 15) * 0x2C1B3C6D) & (2**32 - 1)
+                ids.append(x >> (32 - Q.BITS))
+        mean = sum(float(weights[i]) for i in ids) / max(1, len(ids))
+        assert abs(score - 1 / (1 + math.exp(-(mean + bias)))) < 1e-6
+
+
+def test_quality_of_held_out_rows_of_the_given_tables(spark):
+    import os
+
+    import pytest
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables here")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    rows = Q.op3_quality_classifier(spark, sf).where("held_out").join(labels, "doc_id").where("quality is not null").collect()
+    assert len(rows) > 50 and np.mean([r.predicted == r.quality for r in rows]) >= 0.97
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
+
+
+def test_decontamination_equals_an_alignment_of_all_pairs(spark):
+    """Every pair of a document and an item, aligned without seeds, against what the seeds lead to."""
+    rng = random.Random(44)
+    items = [(i, prose(rng, rng.randrange(5, 45))) for i in range(25)] + [(90, "lone"), (91, "two words")]
+    rows = []
+    for i in range(90):
+        k, w = i % 25, prose(rng, 1)
+        own = items[k][1].split()
+        for _ in range(rng.randrange(0, max(1, len(own) // 3))):
+            edit, at = rng.randrange(3), rng.randrange(len(own))
+            own[at : at + 1] = [[], [prose(rng, 1)], [own[at], prose(rng, 1)]][edit]
+        if i % 9 == 0:
+            own = own[: len(own) // 2]
+        rows.append((i, f"{prose(rng, 30)} {' '.join(own)} {w} {prose(rng, 30)}"))
+    rows += [(200, "a lone one"), (201, "two other words"), (202, "my two words")]
+    hashed = lambda text: Words(*utf8(pa.array([text])), 0, 1).hash
+    texts, wanted = {i: hashed(t) for i, t in items}, set()
+    for d, t in rows:
+        own = hashed(t)
+        for i, item in texts.items():
+            score = D.smith_waterman(item, own)[0] / (D.MATCH * len(item))
+            least = 1.0 if len(item) < D.N else D.LEAST_SCORE
+            if score >= least and (len(item) <= D.N + 1 or score * len(item) > D.N):
+                wanted.add((d, i))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in D.decontaminate(docs, bench).collect()}
+    assert len(wanted) > 60 and set(got) <= wanted and len(set(got)) >= 0.97 * len(wanted)
+    kept = {r.doc_id for r in D.clean(docs, bench).collect()}
+    assert kept == {d for d, _ in rows} - {d for d, _ in got}
