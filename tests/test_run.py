@@ -169,3 +169,28 @@ def test_output_format_names_every_key():
     assert set(models.MEANINGS) == {*S.TOP_FIELDS, *S.VEHICLE_FIELDS, *S.VEHICLES}
     assert json.loads(text.split("\n")[1])["vehicle_b"] == dict.fromkeys(S.VEHICLE_FIELDS)
     assert models.VisionStructurer(None).prompt == models.PROMPTS["image"] and models.TextStructurer(None, prompt="zones").prompt == models.PROMPTS["zones"]
+
+
+def test_text_structurer_asks_in_json_mode_and_needs_a_text():
+    bodies = []
+
+    def client(body):
+        bodies.append(body)
+        return {"choices": [{"message": {"content": json.dumps({"date": "01/02/2023"})}}], "usage": {"prompt_tokens": 3, "completion_tokens": 2}}
+
+    step = models.STRUCTURERS.build("text", client, "m", "blocks")
+    record, tokens_in, tokens_out = step.structure("7", b"", "png", "## header\n01/02/2023")
+    assert record["date"] == "01/02/2023" and (tokens_in, tokens_out) == (3, 2)
+    assert bodies[0]["response_format"] == {"type": "json_object"} and bodies[0]["messages"][1]["content"] == "## header\n01/02/2023" and bodies[0]["messages"][0]["content"].startswith(models.PROMPTS["blocks"])
+    with pytest.raises(models.StructuringError, match=r"\[7\]"):
+        step.structure("7", b"", "png", None)
+
+
+def test_reports_and_other_damage(spark, tmp_path):
+    from formgrain.operators import overlay
+    from formgrain.sources import store
+
+    rows = spark.createDataFrame([("a", [0.4, 0.2], [0.1, 0.3]), ("b", [0.1], [0.1]), ("c", [0.0], [0.5])], "form_id string, yes array<double>, no array<double>")
+    marked = rows.select("form_id", overlay.other_damage(F.col("yes"), F.col("no")).alias("damage"))
+    store.write_report(marked, f"{tmp_path}/report")
+    assert {r.form_id: r.damage for r in spark.read.json(f"{tmp_path}/report").collect()} == {"a": True, "b": False, "c": False}
