@@ -6,6 +6,7 @@ characters or words. A batch is cut into blocks of a few megabytes; only a singl
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -63,7 +64,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage in a way that survives lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -156,6 +157,15 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: list[np.ndarray] = []
 
 
+def give_back() -> None:
+    """At the end of a task: memory that its arrays have left goes back to the system, as workers live on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     if not _POWERS or len(_POWERS[0]) < n:
