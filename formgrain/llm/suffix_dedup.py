@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formgrain.llm.common import blocks, materialise, mix, prefix_hash, prepare, range_hash, signed, spaced, table, utf8
+from formgrain.llm.common import blocks, give_back, materialise, mix, prefix_hash, prepare, range_hash, signed, spaced, table, utf8
 
 WIDTH = 200
 GRAM = 32
-#: Bytes that one suffix array takes before it is closed, and bytes of one key that it may hold: about 140 bytes of arrays go with each.
-ARRAY_BYTES, KEY_BYTES = 3 << 19, 3 << 20
+#: Bytes of one suffix array, and of one key in it: about 140 bytes of arrays go with each.
+ARRAY_BYTES = KEY_BYTES = 3 << 19
 #: Cuts by pieces that a key's classes may go through.
 LEVELS = 12
 #: Text bytes in which fragments are found at once: about a hundred bytes of arrays go with each.
@@ -207,22 +207,33 @@ def _marks_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _sorted_marks(batches):
     """Rows (key, print, run, copies, bytes) with the classes of a key together -> the recurring windows of each class."""
-    held: list[tuple] = []
-    size = 0
+    held: list[tuple] = []  # whole keys
+    own: list[tuple] = []  # the key that is being read
 
-    def done():
-        marks = repeated_windows([x[4] for x in held], np.array([x[2] for x in held]))
-        return _marks_batch([(k, p, r, *(([0], [r]) if copies > 1 else spans_of(m))) for (k, p, r, copies, _), m in zip(held, marks)])
+    def size(rows: list[tuple]) -> int:
+        return sum(len(x[4]) for x in rows)
 
+    def done(rows: list[tuple]):
+        marks = repeated_windows([x[4] for x in rows], np.array([x[2] for x in rows]))
+        return _marks_batch([(k, p, r, *(([0], [r]) if copies > 1 else spans_of(m))) for (k, p, r, copies, _), m in zip(rows, marks)])
+
+    total = 0
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if held and row[0] != held[-1][0] and size >= ARRAY_BYTES:
-                yield done()
-                held, size = [], 0
-            held.append(row)
-            size += len(row[4])
-    if held:
-        yield done()
+            if own and row[0] != own[0][0]:
+                if held and total + size(own) > ARRAY_BYTES:
+                    yield done(held)
+                    held, total = [], 0
+                held += own
+                total += size(own)
+                own = []
+            own.append(row)
+    if held and total + size(own) > ARRAY_BYTES:
+        yield done(held)
+        held = []
+    if held or own:
+        yield done(held + own)
+    give_back()
 
 
 def solve(data: DataFrame, level: int = 1, most: int = KEY_BYTES, levels: int = LEVELS) -> DataFrame:
@@ -255,6 +266,9 @@ def solve(data: DataFrame, level: int = 1, most: int = KEY_BYTES, levels: int =
     return marks.unionByName(joined)
 
 
+_UID = "uid struct<a: long, b: long>"
+
+
 def recurring(docs: DataFrame) -> DataFrame:
     """(uid, text) -> (uid, spans): for each text the ranges of window starts that recur, as array<struct<at, starts, ends>>."""
 
@@ -268,8 +282,9 @@ def recurring(docs: DataFrame) -> DataFrame:
                     part = text[s : s + step + WIDTH - 1]
                     doc, at, run, key, mark, twice = find_fragments(part, starts, ends) if step == len(text) else find_fragments(np.append(part, np.uint8(10)), np.array([0]), np.array([min(len(part), int(ends[0]) - s)]))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + a)), pa.array(at + s, pa.int32()), pa.array(run, pa.int32()), pa.array(key), pa.array(mark), pa.array(twice)], ["uid", "at", "run", "key", "print", "twice"])
+        give_back()
 
-    spots = materialise(docs.mapInArrow(fragments, "uid binary, at int, run int, key long, print long, twice boolean"), "fragments")
+    spots = materialise(docs.mapInArrow(fragments, f"{_UID}, at int, run int, key long, print long, twice boolean"), "fragments")
     # Written, so that the joins with them can be split where a key is hot.
     keys = materialise(spots.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("t")).where("n > 1 or t").select("key"), "keys")
     spots = materialise(spots.join(keys, "key"), "candidates")
@@ -313,7 +328,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (ranges), kept (the remaining bytes)."""
     spark = docs.sparkSession
     prepare(spark)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("uid", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\0"), "text"))))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("uid", F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64("text", "doc_id", F.lit(1)).alias("b")))
     spans = recurring(rows.select("uid", "text"))
     kind = docs.schema[id_col].dataType.simpleString()
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
