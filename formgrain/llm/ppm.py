@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from formgrain.llm.common import Words, blocks, crc_mod, materialise, mix, prepare, signed, table, utf8
+from formgrain.llm.common import Words, blocks, crc_mod, give_back, materialise, mix, prepare, signed, table, utf8
 
 ORDER = 5
 ESCAPE = 0.3
@@ -115,11 +115,12 @@ def count_corpus(texts: DataFrame) -> DataFrame:
                 held[_GRAM].append(tally(keys[places(starts, ends, len(keys))]))
                 held[_WORD].append(tally(signed(words.hash)))
             for kind in held:
-                if sum(len(x[0]) for x in held[kind]) > 4_000_000:
+                if sum(len(x[0]) for x in held[kind]) > 2_000_000:
                     yield rows(kind)
         yield rows(_GRAM)
         yield rows(_WORD)
         yield pa.RecordBatch.from_arrays([pa.array([_DOCS], pa.int32()), pa.array([0], pa.int64()), pa.array([docs], pa.int64())], ["kind", "key", "n"])
+        give_back()
 
     return texts.mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
@@ -279,6 +280,7 @@ def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", te
                     if k := len(key):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(k, what, np.int32)), pa.array(row + doc), pa.array(key), pa.array(times.astype(np.int32)), none(k, batch.schema.field(0).type), none(k, pa.int64()), none(k, pa.int64()), none(k, pa.float64()), none(k, pa.float64())], names)
                 row += m
+        give_back()
 
     names = ["kind", "row", "key", "times", "doc_id", "n_tokens", "known", "base", "sure"]
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
