@@ -310,15 +310,15 @@ def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.expr(held_out).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-def op4_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ppm_base_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of ``op4_ppm`` that SQL can express, the base score to three places."""
     return op4_ppm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
 
 
-MORE = {"op4_base": op4_base}
+MORE = {"ppm_base_score": ppm_base_score}
 
 ORACLE = {
-    "op4_base": r"""
+    "ppm_base_score": r"""
 WITH t AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') || [chr(10)] AS words,
     xor(4294967295, list_reduce(CAST([4294967295] AS BIGINT[]) || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),

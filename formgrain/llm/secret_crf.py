@@ -417,18 +417,18 @@ def op5_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(base, 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), count("crf").alias("n_crf"))
 
 
-def op5_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+def secret_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of ``op5_secret_crf`` that SQL can express."""
     return op5_secret_crf(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
 
 
-MORE = {"op5_base": op5_base}
+MORE = {"secret_patterns": secret_patterns}
 
 _ANY_CASE = "|".join("".join(f"[{x}{x.upper()}]" if x.isalpha() else x for x in word) for word in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY]"
 _PATTERNS = {"assign": (rf"""({_ANY_CASE})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 8), "access": ("(AKIA[A-Z0-9]+)", 1, 16), "hex": ("([0-9a-f]+)", 1, 32)}
 
 ORACLE = {
-    "op5_base": "WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),\nm AS ("
+    "secret_patterns": "WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),\nm AS ("
     + "\nUNION ALL ".join(
         f"SELECT doc_id, {i} AS rank, '{kind}' AS kind, {least} AS least, regexp_split_to_array(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}', 0) AS found, regexp_extract_all(text, '{pattern}', {group}) AS own FROM t"
         for i, (kind, (pattern, group, least)) in enumerate(_PATTERNS.items())
