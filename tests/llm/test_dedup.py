@@ -418,3 +418,78 @@ def test_copies_end_where_they_end(spark):
         found = passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "doc_id")).collect()
         assert {(r.start_word, r.end_word, r.other_start, r.other_end, r.identity) for r in found} == {(0, 70, 0, 70, 1.0)}
         assert {r.doc_id for r in found} == set(range(1, 6))
+
+
+def every_pair_texts(rng):
+    """Passages with parts in earlier and later documents, words changed evenly, and seeds that a document has elsewhere too."""
+    from tests.llm.conftest import prose
+
+    texts = []
+    around = lambda x, n=12: " ".join([prose(rng, n), *x, prose(rng, n)])
+    for _ in range(4):  # 50 words, of which others hold 40 before, between and after
+        passage = prose(rng, 50).split()
+        texts += [around(x) for x in (passage[:40], passage, passage[10:], passage[:42], passage, passage[5:45], passage, passage[:44])]
+    for every in (5, 6, 7, 10):  # two copies whose runs are short
+        passage = prose(rng, 60).split()
+        texts += [around(passage), around([prose(rng, 1) if i % every == every - 1 else x for i, x in enumerate(passage)])]
+    for _ in range(3):  # its pieces stand in other order before the passage
+        passage = prose(rng, 56).split()
+        pieces = [passage[i : i + 7] for i in range(0, 56, 7)]
+        rng.shuffle(pieces)
+        texts += [around(passage), around([*(y for x in pieces for y in [prose(rng, 1), *x]), prose(rng, 40), *passage])]
+    passage = prose(rng, 60).split()  # many holders, each with words of its own
+    for _ in range(24):
+        own = set(rng.sample(range(60), 3))
+        texts.append(around([prose(rng, 1) if i in own else x for i, x in enumerate(passage)]))
+    for _ in range(3):  # one run, and every other end half alike
+        passage = prose(rng, 150).split()
+        texts += [around(passage), around([x if 50 <= i < 100 or rng.random() < 0.62 else prose(rng, 1) for i, x in enumerate(passage)])]
+    return texts
+
+
+def test_every_two_different_texts_with_a_passage_have_a_row(spark):
+    import random
+
+    texts = every_pair_texts(random.Random(41))
+    split = [words(t) for t in texts]
+    wanted = set()
+    for i in range(len(texts)):
+        for j in range(i):
+            sames = {tuple(split[j][k : k + 50]) for k in range(len(split[j]) - 49)}
+            if any(tuple(split[i][k : k + 50]) in sames for k in range(len(split[i]) - 49)):
+                wanted.add((i, j))
+            elif len(set(split[i]) & set(split[j])) >= 36:
+                size, identity = plain_alignment(split[i], split[j])
+                if size >= 45 and identity >= 0.8:
+                    wanted.add((i, j))
+    found = {(r.doc_id, r.other_id) for r in passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(wanted) >= 280 and not wanted - found
+
+
+def test_a_passage_of_any_number_of_texts_joins_each_to_the_smallest(spark, monkeypatch):
+    import random
+
+    from formgrain.llm import chain_dedup as C
+    from tests.llm.conftest import prose
+
+    monkeypatch.setattr(C, "GROUP", 4)
+    rng = random.Random(42)
+    passage = prose(rng, 50).split()
+    whole = [i for i in range(90) if i % 3 == 1]
+    texts = [" ".join([prose(rng, 10), *(passage if i % 3 == 1 else passage[:40] if i % 3 else passage[8:]), prose(rng, 10)]) for i in range(90)]
+    copies = [texts[1], texts[1], texts[4]]
+    found = passages(spark.createDataFrame(list(enumerate(texts + copies)), "doc_id long, text string")).collect()
+    root = union([(r.doc_id, r.other_id) for r in found if r.identity == 1.0 and r.end_word - r.start_word >= 50], range(93))
+    assert {root[i] for i in whole} == {root[1]} and [root[i] for i in (90, 91, 92)] == [root[1]] * 3
+    assert {(r.doc_id, r.other_id) for r in found if r.doc_id >= 90} == {(90, 1), (91, 1), (92, 4)}
+
+
+def test_places_of_seeds_that_several_texts_have():
+    from formgrain.llm import chain_dedup as C
+
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 2**40, 50).astype(np.uint64)
+    assert (C.joined(np.frombuffer(C.planes(x, 5).tobytes(), np.uint8), 5) == x).all()
+    blob = lambda *columns: b"".join(C.planes(np.array(x, np.uint64), n).tobytes() for x, n in zip(columns, (5, 4, 3)))
+    got = dict(C.shared_places([(7, blob([1, 2, 2, 5, 9, 16], [5, 6, 8, 7, 3, 4], [1, 2, 3, 4, 5, 6])), (8, blob([1, 4, 4, 5, 16], [0, 1 | 1 << 31, 9 | 1 << 31, 2, 3], [2, 7, 8, 4, 6]))]))
+    assert {k: sorted(np.frombuffer(v, np.uint32).tolist()) for k, v in got.items()} == {7: [4, 5], 8: [0, 1, 3, 9]}  # 5 has one word before it everywhere
