@@ -30,11 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from formgrain.llm.common import Words, blocks, crc_mod, give_back, materialise, mix, prepare, signed, table, utf8
+from formgrain.llm.common import BLOCK, Words, blocks, crc_mod, give_back, materialise, mix, prepare, signed, table, utf8
 
 ORDER = 5
 ESCAPE = 0.3
 NODES = 1 << 20
+PIECE = BLOCK // 4  # bytes of text worked on at once: each takes about 100 bytes of arrays
+HELD, ROWS = 1 << 20, 1 << 17  # distinct keys that a task keeps, rows that it sends at once
 END = 10
 _GRAM, _WORD, _DOCS = 0, 1, 2
 _TEXT = 3
@@ -100,25 +102,34 @@ def count_corpus(texts: DataFrame) -> DataFrame:
         held: dict[int, list] = {_GRAM: [], _WORD: []}
         docs = 0
 
-        def rows(kind):
-            keys, n = tally(*(np.concatenate(x) for x in zip(*held[kind]))) if held[kind] else (np.empty(0, np.int64), np.empty(0, np.int64))
+        def rows(kind, most):
+            """What has been added up of a kind, if it is more than ``most`` keys; else it is kept."""
+            if not held[kind]:
+                return
+            keys, n = (np.concatenate(x) for x in zip(*held[kind]))
             held[kind] = []
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(n)], ["kind", "key", "n"])
+            keys, n = tally(keys, n)
+            if len(keys) <= most:
+                held[kind] = [(keys, n)]
+                return
+            for k in range(0, len(keys), ROWS):
+                some = keys[k : k + ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind, np.int32)), pa.array(some), pa.array(n[k : k + ROWS])], ["kind", "key", "n"])
 
         for batch in batches:
             raw, offsets = utf8(batch.column(0))
             docs += len(offsets) - 1
-            for a, b in blocks(offsets):
+            for a, b in blocks(offsets, PIECE):
                 words = Words(raw, offsets, a, b)
                 text, starts, ends = normal_form(words)
                 keys = grams_of(text)
                 held[_GRAM].append(tally(keys[places(starts, ends, len(keys))]))
                 held[_WORD].append(tally(signed(words.hash)))
-            for kind in held:
-                if sum(len(x[0]) for x in held[kind]) > 2_000_000:
-                    yield rows(kind)
-        yield rows(_GRAM)
-        yield rows(_WORD)
+                for kind in held:
+                    if sum(len(x[0]) for x in held[kind]) > 3 * HELD // 2:
+                        yield from rows(kind, HELD)
+        yield from rows(_GRAM, 0)
+        yield from rows(_WORD, 0)
         yield pa.RecordBatch.from_arrays([pa.array([_DOCS], pa.int32()), pa.array([0], pa.int64()), pa.array([docs], pa.int64())], ["kind", "key", "n"])
         give_back()
 
@@ -258,7 +269,7 @@ def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", te
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
-            for a, b in blocks(offsets):
+            for a, b in blocks(offsets, PIECE):
                 words = Words(raw, offsets, a, b)
                 own = signed(words.hash)
                 hit, n = frequent.value.find(own)

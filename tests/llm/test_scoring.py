@@ -115,6 +115,36 @@ def test_ppm_equals_a_plain_one_whatever_is_broadcast(spark):
         assert got == sorted((i, round(model.score(normal(t)), 6)) for i, t in rows)
 
 
+def test_a_task_that_counts_holds_little_memory(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Caught:  # stands for a DataFrame and keeps what a task runs
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+        def groupBy(self, *columns):
+            return self
+
+        agg = groupBy
+
+    rng = np.random.default_rng(6)
+    texts = ["".join(map(chr, rng.integers(97, 123, 20_000))) for _ in range(250)]  # 5 MB, every gram another
+    caught = Caught()
+    ppm.count_corpus(caught)
+    tracemalloc.start()
+    times, most = 0, 0
+    for batch in caught.run(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])] * 2)):
+        times += int(batch.column(2).to_numpy()[batch.column(0).to_numpy() == 0].sum())
+        most = max(most, batch.num_rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert times == 2 * 250 * 20_001
+    assert most <= 1 << 17 and peak < 250e6
+
+
 def test_lookup_finds_what_it_holds():
     rng = np.random.default_rng(3)
     keys = np.unique(rng.integers(0, 2**56, 5000))
