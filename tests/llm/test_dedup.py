@@ -493,3 +493,60 @@ def test_places_of_seeds_that_several_texts_have():
     blob = lambda *columns: b"".join(C.planes(np.array(x, np.uint64), n).tobytes() for x, n in zip(columns, (5, 4, 3)))
     got = dict(C.shared_places([(7, blob([1, 2, 2, 5, 9, 16], [5, 6, 8, 7, 3, 4], [1, 2, 3, 4, 5, 6])), (8, blob([1, 4, 4, 5, 16], [0, 1 | 1 << 31, 9 | 1 << 31, 2, 3], [2, 7, 8, 4, 6]))]))
     assert {k: sorted(np.frombuffer(v, np.uint32).tolist()) for k, v in got.items()} == {7: [4, 5], 8: [0, 1, 3, 9]}  # 5 has one word before it everywhere
+
+
+def test_links_are_sent_by_pairs_and_come_back_whole():
+    from formgrain.llm import chain_dedup as C
+
+    rng = np.random.default_rng(8)
+    text, other = rng.integers(2**59, 2**59 + 9, 500), rng.integers(0, 5, 500) << 24
+    p, q, size = rng.integers(0, 2**20, 500).astype(np.int32), rng.integers(0, 2**20, 500).astype(np.int32), rng.choice([4, 8, 16, 32, 45], 500)
+    sent = list(C.links_out(iter([(text[:200], other[:200], p[:200], q[:200], size[:200]), (text[200:], other[200:], p[200:], q[200:], size[200:])]), 3))
+    assert len(sent) <= 3  # one row for a bucket, where each link was a row
+    got, buckets = [], {}
+    for bucket, data in sent:
+        a, b, times, x, y, z = C.links_in(data)
+        got += zip(np.repeat(a, times).tolist(), np.repeat(b, times).tolist(), x.tolist(), y.tolist(), z.tolist())
+        for i in a.tolist():
+            assert buckets.setdefault(i, bucket) == bucket
+    assert sorted(got) == sorted(zip(text.tolist(), other.tolist(), p.tolist(), q.tolist(), size.tolist()))
+    for n in (5, 300):  # of a pair with many chains some in each row
+        p, q = np.arange(n) * 400, np.arange(n)[::-1] * 400
+        rows = list(C.pair_chains([(np.array([7]), np.array([3]), np.array([n]), p, q, np.full(n, 45))]))
+        assert [x for b in rows for x in b.column(3).to_pylist()] == ([n] if n <= C.PIECE else [C.PIECE, n - C.PIECE])
+        found = [C.Chains(b) for b in rows]
+        assert sorted(zip(np.concatenate([x.x0 for x in found]).tolist(), np.concatenate([x.y0 for x in found]).tolist())) == sorted(zip(p.tolist(), q.tolist()))
+
+
+def test_words_around_chains_are_sent_once_and_parts_are_aligned_together(monkeypatch):
+    import pyarrow as pa
+
+    from formgrain.llm import chain_dedup as C
+
+    rng = np.random.default_rng(9)
+    rows, a, b = [], [], []
+    for k in range(60):  # two runs of 50 words, and 60 others between them on one side
+        x, y = rng.integers(10, 2**31, 50), rng.integers(10, 2**31, 50)
+        own, other = [rng.integers(10, 2**31, 20), x, y, rng.integers(10, 2**31, 20)], [rng.integers(10, 2**31, 5), x, rng.integers(10, 2**31, 60), y]
+        a.append(np.concatenate(own))
+        b.append(np.concatenate(other))
+        rows.append([20, 70, 5, 70, 120, 115])
+    edge = np.arange(61)
+    batch = pa.RecordBatch.from_arrays([C.binaries(np.full(60, 2), edge), C.binaries(np.array(rows).ravel(), 6 * edge)], ["counts", "anchors"])
+    chains = C.Chains(batch)
+    row, low, high = chains.around(chains.x0, chains.x1)
+    own, start, stop = C.covered(row, low, np.minimum(high, 140))
+    assert own.tolist() == sorted([*range(60)] * 2) and set(zip(start.tolist(), stop.tolist())) == {(0, 20), (120, 140)}
+    words = np.concatenate([a[i][s:e] for i, s, e in zip(own, start, stop)])
+    cut = np.searchsorted(own, edge)
+    batch = batch.append_column("parts", C.binaries(np.stack([start, stop], axis=1).ravel(), 2 * cut)).append_column("words", C.binaries(words, np.append(0, np.cumsum(stop - start))[cut]))
+    ours = C.sent_words(batch, row, low, high)
+    assert all((ours.flat[ours.first[3 * i] : ours.last[3 * i]] == a[i][:20]).all() and ours.sizes(np.arange(3 * i, 3 * i + 3)).tolist() == [20, 0, 20] for i in range(60))
+    row, low, high = chains.around(chains.y0, chains.y0 + chains.x1 - chains.x0)
+    at = row * 165
+    theirs = C.Ranges(np.concatenate(b), at + low, at + np.minimum(high, 165))
+    calls, extend = [], C.extend
+    monkeypatch.setattr(C, "extend", lambda *x: calls.append(1) or extend(*x))
+    which, found = C.align_chains(chains, ours, theirs)
+    assert which.tolist() == sorted([*range(60)] * 2) and {tuple(x) for x in found[:, :4].tolist()} == {(20, 70, 5, 55), (70, 120, 115, 165)}
+    assert len(calls) <= 10  # not some for each part
