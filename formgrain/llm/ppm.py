@@ -35,7 +35,7 @@ from formgrain.llm.common import BLOCK, Words, blocks, crc_mod, give_back, mater
 ORDER = 5
 ESCAPE = 0.3
 NODES = 1 << 20
-PIECE = BLOCK // 4  # bytes of text worked on at once: each takes about 100 bytes of arrays
+PIECE = BLOCK // 4  # bytes of text worked on at once: each takes several numbers of 8 bytes
 HELD, ROWS = 1 << 20, 1 << 17  # distinct keys that a task keeps, rows that it sends at once
 END = 10
 _GRAM, _WORD, _DOCS = 0, 1, 2
